@@ -1,6 +1,6 @@
 """Registered queries and the DuckDB statement each must agree with."""
 
 from gate.base import ORACLE, QUERIES
-from gate import features
+from gate import features, market
 
-__all__ = ["ORACLE", "QUERIES", "features"]
+__all__ = ["ORACLE", "QUERIES", "features", "market"]

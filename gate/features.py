@@ -222,7 +222,7 @@ for name, column in (("m3", "diff"), ("m4", "pct_change"), ("m5", "log_return"),
     add(
         f"{name}_macro_{column}",
         lambda spark, sf, c=column: macro_features_long(macro(spark, sf)).select("date", "series", sig(c)),
-        with_sql(*MACRO_CTES) + f"\nSELECT date, series, {sig_sql(column)} FROM mz",
+        with_sql(*MACRO_CTES) + f"\nSELECT date, series, {sig_sql(column)} FROM mz WHERE level IS NOT NULL",
     )
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeweave.functions.windows import Series, ratio
+from tapeweave.functions.windows import present_in, ratio
 from tapeweave.sources.schema import require_columns
 
 SUFFIXES = ("diff", "pct_change", "log_return", "zscore")
@@ -21,24 +21,27 @@ def series_name_column(symbol: str | Column) -> Column:
     return F.concat(F.lit("macro_"), F.regexp_replace(F.regexp_replace(F.lower(c), r"\^", ""), r"[-=./]", "_"))
 
 
-def densified(macro: DataFrame) -> DataFrame:
-    """One row per date and series: lags step over the dates of the whole table.
+def indexed(macro: DataFrame) -> DataFrame:
+    """Readings with the position of their date among all dates of the table.
 
-    Dates and series are small lists (one row per period, one per series); their product is
-    the wide table's cell count, not a product of data rows.
+    Lags and windows step over those positions, so a series that skips a date behaves as if
+    it had a null there, without a row being made up for it. The date list is one row per
+    period and is broadcast.
     """
     require_columns(macro, ["date", "ticker", "value"], "macro")
-    grid = macro.select("date").distinct().join(F.broadcast(macro.select("ticker").distinct()))
+    position = F.row_number().over(Window.orderBy("date"))
+    dates = macro.select("date").distinct().withColumn("__at", position)
     values = macro.groupBy("date", "ticker").agg(F.first("value", ignorenulls=True).cast("double").alias("value"))
-    return grid.join(values, ["date", "ticker"], "left")
+    return values.join(F.broadcast(dates), "date")
 
 
 def macro_features_long(macro: DataFrame, window: int = 20) -> DataFrame:
     """``date, series, level`` and the four transforms."""
-    s = Series("ticker")
-    df = s.number(densified(macro)).withColumn("__prev", s.lag("value"))
+    series = Window.partitionBy("ticker").orderBy("__at")
+    recent = series.rangeBetween(-(window - 1), 0)
+    adjacent = F.lag("__at").over(series) == F.col("__at") - 1
+    df = indexed(macro).withColumn("__prev", F.when(adjacent, F.lag("value").over(series)))
     v, p = F.col("value"), F.col("__prev")
-    spread = s.rolling(F.stddev_samp, "value", window, 2)
     return df.select(
         "date",
         series_name_column("ticker").alias("series"),
@@ -46,7 +49,7 @@ def macro_features_long(macro: DataFrame, window: int = 20) -> DataFrame:
         (v - p).alias("diff"),
         (ratio(v, p) - 1).alias("pct_change"),
         F.when((v > 0) & (p > 0), F.ln(v / F.nullif(p, F.lit(0.0)))).alias("log_return"),
-        ratio(v - s.rolling(F.avg, "value", window, 2), spread).alias("zscore"),
+        ratio(v - F.avg("value").over(recent), present_in(recent, F.stddev_samp, "value", 2)).alias("zscore"),
     )
 
 
