@@ -30,6 +30,7 @@ from tapeweave.operators.macro import series_name_column
 from tapeweave.operators.market_relative import market_relative_features, with_benchmark
 from tapeweave.sources import desk, universe, validation, vendor
 from tapeweave.sources.bars import benchmark_subset, trading_calendar
+from tapeweave.session import cut_lineage
 from tapeweave.sources.schema import enforce_ohlcv, enforce_returns
 
 PRICES = ["open", "high", "low", "close"]
@@ -41,12 +42,12 @@ def market(spark, sf):
 
 
 def weekly(spark, sf):
-    return cal.weekly_calendar(bars(spark, sf))
+    """The calendar is a few rows used many times: it is written once."""
+    return cut_lineage(cal.weekly_calendar(bars(spark, sf)))
 
 
 def returns(spark, sf):
-    b = bars(spark, sf)
-    return cal.open_to_open_returns(b, cal.weekly_calendar(b))
+    return cal.open_to_open_returns(bars(spark, sf), weekly(spark, sf))
 
 
 def market_returns(spark, sf):

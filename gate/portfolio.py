@@ -168,7 +168,7 @@ DECIDED = """decided AS (SELECT p.decision_date, p.ticker, p_buy, coalesce(t2.w,
 HELD = [*BASE, TARGETS, _norm("targets", "n"), TOP, _norm("top", "t2"), PROBS, DECIDED]
 add(
     "k11_action_gate",
-    lambda s, sf: policy.decide(holdings(s, sf), probabilities(s, sf), GATE).select("decision_date", "ticker", "action"),
+    lambda s, sf: policy.decide(holdings(s, sf), probabilities(s, sf), GATE).filter("ticker <> 'CASH'").select("decision_date", "ticker", "action"),
     with_sql(*HELD) + "\nSELECT decision_date, ticker, action FROM decided",
 )
 FUND = """books AS (SELECT decision_date, c.w + freed AS funds, kept FROM (SELECT decision_date, sum(CASE WHEN action = 'SELL' THEN w ELSE 0 END) AS freed,
@@ -181,8 +181,7 @@ fin AS (SELECT d.decision_date, d.ticker, a.ticker IS NOT NULL AS admitted, CASE
 
 
 def funded(s, sf):
-    held = holdings(s, sf)
-    return policy.fund(policy.decide(held, probabilities(s, sf), GATE), held, GATE)
+    return policy.fund(policy.decide(holdings(s, sf), probabilities(s, sf), GATE), GATE)
 
 
 add(
@@ -206,7 +205,7 @@ add("k13_policy_replay", lambda s, sf: replayed(s, sf).select("portfolio_id", "d
 
 
 def action_rows(s, sf):
-    return policy.decide(holdings(s, sf), probabilities(s, sf), GATE).select("decision_date", "ticker", "action")
+    return policy.decide(holdings(s, sf), probabilities(s, sf), GATE).filter("ticker <> 'CASH'").select("decision_date", "ticker", "action")
 
 
 PERIODS = """ev AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY decision_date) AS n FROM decided),
@@ -261,7 +260,7 @@ def _rows(s, sf):
 
 add(
     "e1_drifted_weights",
-    lambda s, sf: (lambda r: ledger.drifted(r, ledger.period_totals(r)))(_rows(s, sf)).select("portfolio_id", "decision_date", "ticker", sig("drifted_weight")),
+    lambda s, sf: ledger.with_worth(_rows(s, sf)).select("portfolio_id", "decision_date", "ticker", sig("drifted_weight")),
     with_sql(*BASE, PW, LEDGER) + f"\nSELECT pr.p AS portfolio_id, pr.decision_date, ticker, {sig_sql('w * (1 + r) / worth', 'drifted_weight')} FROM pr JOIN tt ON tt.p = pr.p AND tt.decision_date = pr.decision_date",
 )
 for name, mine, theirs in (

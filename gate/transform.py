@@ -56,7 +56,7 @@ add(
     "p1_p6_mixed_transforms",
     lambda s, sf: preprocess.preprocess(raw(s, sf), CLIP).select("date", "ticker", *sigs("price", "size", "era", "size_percentile_rank")),
     with_sql(BARS, RAW)
-    + f""", f AS (SELECT date, ticker, {_fill('least(price, 40000)')} AS price, {_fill("least(greatest(coalesce(size, 'infinity'::DOUBLE), 5), 45)")} AS size,
+    + f""", f AS (SELECT date, ticker, {_fill('CASE WHEN price IS NOT NULL THEN least(price, 40000) END')} AS price, {_fill("least(greatest(coalesce(size, 'infinity'::DOUBLE), 5), 45)")} AS size,
   {_fill('least(era, 40000)')} AS era, size_percentile_rank FROM raw)
 SELECT date, ticker, {sig_sql(_z('price', 30), 'price')}, {sigs_sql('size')}, {sig_sql(_z('era', 15, True, least=3), 'era')}, {sigs_sql('size_percentile_rank')} FROM f""",
 )

@@ -3,7 +3,8 @@
 A cross-section (all names on a date) or a pooled column can hold a large share of a table.
 Nothing here sorts such a group in one task:
 
-* statistics combine map-side and are joined back by key;
+* group sizes are counted first (keys only). Groups that fit a task use windows;
+* statistics of wider groups combine map-side and are joined back by key;
 * ordered work first collapses equal values, then cuts groups above ``split_above`` distinct
   values at approximate quantiles and adds each piece's offset;
 * values repeated more than ``split_above`` times are joined back by broadcast - there are at
@@ -14,29 +15,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeweave.session import cut_lineage
+
 SPLIT_ABOVE = 1_000_000
 PIECES = 128
 
 
-def attach(df: DataFrame, stats: DataFrame, keys, by_date: bool = False) -> DataFrame:
-    """Left join of per-group statistics; keys are non-null.
+def largest_group(df: DataFrame, keys) -> int:
+    """Size of the biggest group; only the keys are read, and one number returns."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
-    ``by_date`` marks statistics keyed by calendar date alone: at most one row per day, so
-    they are broadcast and the rows stay where they are. Other keys are left to the
-    optimizer's own size checks.
-    """
-    return df.join(F.broadcast(stats) if by_date else stats, list(keys), "left")
 
+def is_wide(df: DataFrame, keys, wide: bool | None = None, split_above: int = SPLIT_ABOVE) -> bool:
+    """Whether a group is too large for one task; a known answer is passed through."""
+    return largest_group(df, keys) > split_above if wide is None else wide
 
-def with_stats(df: DataFrame, keys, by_date: bool = False, **aggs: Column) -> DataFrame:
-    """Add group aggregates to every row (keys must be non-null)."""
-    stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return attach(df, stats, keys, by_date)
 
+def with_stats(df: DataFrame, keys, wide: bool | None = None, **aggs: Column) -> DataFrame:
+    """Add group aggregates (plain aggregate functions) to every row; keys are non-null.
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Size of the biggest group; only the keys are read, and one number returns."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    Groups that fit a task use windows, which chain over a single shuffle. Wide groups are
+    aggregated map-side and joined back; their input is written once, not computed twice.
+    """
+    if not is_wide(df, keys, wide):
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: a.over(w) for n, a in aggs.items()})
+    base = cut_lineage(df)
+    return base.join(base.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), list(keys))
+
+
+def with_group_row(
+    df: DataFrame, keys, wide: bool | None, order: str, fields: dict[str, Column], needed: Column | None = None,
+    **aggs: Column,
+) -> DataFrame:
+    """Add one row per group, where ``needed`` holds.
+
+    ``fields`` (the new row's values) and ``needed`` refer to the keys and the named ``aggs``.
+    """
+    names = [c for c in df.columns if c not in keys]
+    needed = F.lit(True) if needed is None else needed
+    if is_wide(df, keys, wide):
+        base = cut_lineage(df)
+        groups = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *[a.alias(n) for n, a in aggs.items()])
+        new = [fields[c].cast(df.schema[c].dataType).alias(c) for c in names]
+        return base.unionByName(groups.filter(needed).select(*keys, *new))
+    w = Window.partitionBy(*keys)
+    first = F.row_number().over(w.orderBy(order)) == 1
+    marked = df.withColumns({"__first": first, **{n: a.over(w) for n, a in aggs.items()}})
+    own = F.struct(*[F.col(c) for c in names])
+    new = F.struct(*[fields[c].cast(df.schema[c].dataType).alias(c) for c in names])
+    rows = F.when(F.col("__first") & needed, F.array(own, new)).otherwise(F.array(own))
+    return marked.select(*keys, F.inline(rows))
 
 
 def value_prefix(
@@ -93,16 +122,18 @@ def with_average_rank(
     output: str,
     ascending: bool = True,
     split_above: int = SPLIT_ABOVE,
+    wide: bool | None = None,
 ) -> DataFrame:
     """Average-tie rank (1-based) of ``value`` in its group; null values get null."""
     keys = list(keys)
-    if largest_group(df, keys) <= split_above:
+    if not is_wide(df, keys, wide, split_above):
         order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
         w = Window.partitionBy(*keys).orderBy(order)
         ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return df.withColumn(output, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0))
 
     on = [*keys, value]
+    df = cut_lineage(df)
     distinct = df.filter(F.col(value).isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("__ties"))
     ranked = value_prefix(distinct, keys, value, ("__ties",), ascending, split_above)
     ranked = ranked.withColumn(output, F.col("__ties_before") + (F.col("__ties") + 1) / 2.0)

@@ -67,19 +67,28 @@ def execution_prices(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 def open_to_open_returns(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Return from the execution open to the next execution open, per ticker.
 
-    Both sides are filtered by the broadcast calendar before the one shuffle on
-    (date, ticker), so only execution-day opens move.
+    Bars are read once: the broadcast calendar tells each open which decision it enters and
+    which it closes, and one combining aggregate per (decision date, ticker) pairs the two.
     """
     require_columns(calendar, CALENDAR_COLUMNS, "rebalance calendar")
-    entry = execution_prices(bars, calendar)
-    exits = F.broadcast(calendar.select("next_execution_date").distinct())
-    closing = (
-        valid_opens(bars)
-        .select(F.col("date").alias("next_execution_date"), "ticker", F.col("open").alias("next_open"))
-        .join(exits, "next_execution_date", "left_semi")
+    uses = calendar.select(
+        *[F.col(c).cast("date").alias(c) for c in CALENDAR_COLUMNS]
+    ).select(
+        "*",
+        F.inline(
+            F.array(
+                F.struct(F.col("execution_date").alias("date"), F.lit(True).alias("__enters")),
+                F.struct(F.col("next_execution_date").alias("date"), F.lit(False).alias("__enters")),
+            )
+        ),
     )
-    joined = entry.join(closing, ["next_execution_date", "ticker"])
-    return enforce_returns(joined.withColumn("return", ratio(F.col("next_open"), F.col("open")) - 1))
+    used = valid_opens(bars).join(F.broadcast(uses), "date")
+    paired = used.groupBy(*CALENDAR_COLUMNS, "ticker").agg(
+        F.max(F.when(F.col("__enters"), F.col("open"))).alias("open"),
+        F.max(F.when(~F.col("__enters"), F.col("open"))).alias("next_open"),
+    )
+    both = paired.filter(F.col("open").isNotNull() & F.col("next_open").isNotNull())
+    return enforce_returns(both.withColumn("return", ratio(F.col("next_open"), F.col("open")) - 1))
 
 
 def wide_returns(returns: DataFrame, tickers, value: str = "return", on: str = "decision_date") -> DataFrame:

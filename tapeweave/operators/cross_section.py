@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeweave.functions.groups import SPLIT_ABOVE, percentile_from_rank, with_average_rank, with_stats
+from tapeweave.functions.groups import SPLIT_ABOVE, is_wide, percentile_from_rank, with_average_rank, with_stats
 from tapeweave.functions.windows import Series, ratio
 from tapeweave.operators.routing import RANK_SUFFIX
 from tapeweave.sources.schema import require_columns
@@ -15,18 +15,25 @@ def percentile_rank(
 ) -> DataFrame:
     """Average-tie percentile rank within each date; nulls count in n and stay null."""
     require_columns(df, [on, value], "rank input")
-    out = with_average_rank(df, [on], value, "__rank", split_above=split_above)
-    counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        out.join(F.broadcast(counts), on)
-        .withColumn(output or value + RANK_SUFFIX, percentile_from_rank("__rank", F.col("__n")))
-        .drop("__rank", "__n")
+    wide = is_wide(df, [on], split_above=split_above)
+    out = with_average_rank(df, [on], value, "__rank", split_above=split_above, wide=wide)
+    out = with_stats(out, [on], wide, __n=F.count(F.lit(1)))
+    return out.withColumn(output or value + RANK_SUFFIX, percentile_from_rank("__rank", F.col("__n"))).drop(
+        "__rank", "__n"
     )
 
 
-def cross_sectional_zscore(df: DataFrame, value: str, output: str, on: str = "date") -> DataFrame:
+def percentile_ranks(df: DataFrame, values, on: str = "date", split_above: int = SPLIT_ABOVE) -> DataFrame:
+    for v in values:
+        df = percentile_rank(df, v, on=on, split_above=split_above)
+    return df
+
+
+def cross_sectional_zscore(
+    df: DataFrame, value: str, output: str, on: str = "date", wide: bool | None = None
+) -> DataFrame:
     """Population z-score within each date, 0 where the date has no spread."""
-    out = with_stats(df, [on], by_date=True, __mean=F.avg(value), __std=F.stddev_pop(value))
+    out = with_stats(df, [on], wide, __mean=F.avg(value), __std=F.stddev_pop(value))
     scored = F.when(F.col("__std") > 0, (F.col(value) - F.col("__mean")) / F.nullif("__std", F.lit(0.0)))
     return out.withColumn(output, F.coalesce(scored, F.lit(0.0))).drop("__mean", "__std")
 
@@ -37,7 +44,7 @@ def sample_zscore_at(df: DataFrame, values, date) -> DataFrame:
     stats = {f"__m{i}": F.avg(v) for i, v in enumerate(values)} | {
         f"__s{i}": F.stddev_samp(v) for i, v in enumerate(values)
     }
-    out = with_stats(day, ["date"], by_date=True, **stats)
+    out = with_stats(day, ["date"], **stats)
     return out.select(
         "ticker",
         *[
@@ -49,11 +56,10 @@ def sample_zscore_at(df: DataFrame, values, date) -> DataFrame:
 
 def zscore_by_ticker(df: DataFrame, values) -> DataFrame:
     """Whole-history sample z-score per ticker; null where the ticker has no spread."""
-    stats = df.groupBy("ticker").agg(
-        *[F.avg(v).alias(f"__m{i}") for i, v in enumerate(values)],
-        *[F.stddev_samp(v).alias(f"__s{i}") for i, v in enumerate(values)],
-    )
-    out = df.join(stats, "ticker", "left")
+    stats = {f"__m{i}": F.avg(v) for i, v in enumerate(values)} | {
+        f"__s{i}": F.stddev_samp(v) for i, v in enumerate(values)
+    }
+    out = with_stats(df, ["ticker"], False, **stats)
     scored = {v: ratio(F.col(v) - F.col(f"__m{i}"), F.col(f"__s{i}")) for i, v in enumerate(values)}
     return out.withColumns(scored).select(*df.columns)
 

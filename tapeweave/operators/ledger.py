@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tapeweave.config import LedgerConfig, RewardConfig
+from tapeweave.functions.groups import is_wide, with_stats
 from tapeweave.functions.sequential import stream_portfolios
 from tapeweave.operators.weights import CASH, KEYS, cap_to_cash, is_cash, keep_top_n, normalize, with_cash
 from tapeweave.sources.schema import finite
@@ -35,18 +36,19 @@ def unusable_targets(weights: DataFrame) -> DataFrame:
     )
 
 
-def constrained(weights: DataFrame, cfg: LedgerConfig) -> DataFrame:
+def constrained(weights: DataFrame, cfg: LedgerConfig, wide: bool | None = None) -> DataFrame:
     """Normalize, keep the top N, cap - in the order trades are executed."""
-    out = normalize(with_cash(weights.select(*KEYS, "ticker", "weight")))
+    wide = is_wide(weights, KEYS, wide)
+    out = normalize(with_cash(weights, wide=wide), wide=wide)
     if cfg.top_n is not None:
-        out = keep_top_n(out, cfg.top_n)
+        out = keep_top_n(out, cfg.top_n, wide=wide)
     if cfg.max_position_weight is not None:
-        out = cap_to_cash(out, cfg.max_position_weight)
+        out = cap_to_cash(out, cfg.max_position_weight, wide=wide)
     return out
 
 
 def executed_weights(
-    targets: DataFrame, returns: DataFrame, cfg: LedgerConfig, checked: bool = False
+    targets: DataFrame, returns: DataFrame, cfg: LedgerConfig, checked: bool = False, wide: bool | None = None
 ) -> DataFrame:
     """Executable weights; an unusable target keeps the current (drifted) holdings.
 
@@ -55,10 +57,10 @@ def executed_weights(
     caller built the weights itself.
     """
     if checked:
-        return constrained(targets, cfg)
+        return constrained(targets, cfg, wide)
     bad = unusable_targets(targets).select("portfolio_id").distinct()
     if bad.isEmpty():
-        return constrained(targets, cfg)
+        return constrained(targets, cfg, wide)
     clean = constrained(targets.join(bad, "portfolio_id", "left_anti"), cfg)
     rows = with_returns(with_cash(targets.join(bad, "portfolio_id", "left_semi")), returns, strict=False)
     replayed = stream_portfolios(rows, lambda: None, lambda s, d: _fallback_step(s, d, cfg), WEIGHT_SCHEMA)
@@ -98,47 +100,43 @@ def with_returns(weights: DataFrame, returns: DataFrame, strict: bool = True) ->
     return joined.withColumn("return", F.coalesce(value, missing.cast("double")))
 
 
-def period_totals(rows: DataFrame) -> DataFrame:
-    """Gross return and end value per portfolio and date, with the date that follows."""
-    totals = rows.groupBy(*KEYS).agg(
-        F.sum(F.col("weight") * F.col("return")).alias("gross_return"),
-        F.sum(F.col("weight") * (1 + F.col("return"))).alias("__worth"),
-        F.count(F.lit(1)).alias("__names"),
-    )
-    return totals.withColumns(
-        {"__next": F.lead("decision_date").over(by_portfolio()), "__step": F.row_number().over(by_portfolio())}
-    )
-
-
-def drifted(rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """End-of-period weights: each holding grown by its return, over the portfolio's worth."""
-    joined = rows.join(totals.select(*KEYS, "__worth", "__next"), list(KEYS))
+def with_worth(rows: DataFrame, wide: bool | None = None) -> DataFrame:
+    """Add the cross-section's worth after its returns and the drifted weights."""
+    out = with_stats(rows, KEYS, wide, __worth=F.sum(F.col("weight") * (1 + F.col("return"))), __names=F.count(F.lit(1)))
     share = F.try_divide(F.col("weight") * (1 + F.col("return")), F.col("__worth"))
-    return joined.withColumn("drifted_weight", F.coalesce(share, F.col("weight"))).drop("__worth")
+    return out.withColumn("drifted_weight", F.coalesce(share, F.col("weight")))
 
 
-def turnover(rows: DataFrame, totals: DataFrame, initial: str = "cash") -> DataFrame:
-    """L1 distance between executed weights and the holdings carried into the date.
+def period_rows(rows: DataFrame, initial: str = "cash", wide: bool | None = None) -> DataFrame:
+    """Gross return and turnover per portfolio and date.
 
-    Holdings move to the next decision date as negative weights and are summed with the new
-    ones by name, so names that enter or leave the table count in full.
+    Turnover is the L1 distance between executed weights and what was carried into the date.
+    Every holding is entered at its own date with its weight and at the portfolio's next date
+    with minus its drifted weight; sums by name make names that enter or leave count in full.
+    The first date is measured from all cash, or from equal weights including cash.
     """
-    now = rows.select(*KEYS, "ticker", F.col("weight").alias("__w"))
-    carried = (
-        drifted(rows, totals)
-        .filter(F.col("__next").isNotNull())
-        .select("portfolio_id", F.col("__next").alias("decision_date"), "ticker", (-F.col("drifted_weight")).alias("__w"))
+    dates = rows.select(*KEYS).distinct().withColumns(
+        {"__next": F.lead("decision_date").over(by_portfolio()), "__step": F.row_number().over(by_portfolio())}
     )
-    start = totals.filter(F.col("__step") == 1)
-    if initial == "cash":
-        opening = start.select(*KEYS, F.lit(CASH).alias("ticker"), F.lit(-1.0).alias("__w"))
-    else:
-        opening = rows.join(start.select(*KEYS, "__names"), list(KEYS)).select(
-            *KEYS, "ticker", (-1.0 / F.col("__names")).alias("__w")
-        )
-    moves = now.unionByName(carried).unionByName(opening)
-    change = moves.groupBy(*KEYS, "ticker").agg(F.abs(F.sum("__w")).alias("__d"))
-    return change.groupBy(*KEYS).agg(F.sum("__d").alias("turnover"))
+    placed = with_worth(rows, wide).join(dates, list(KEYS))
+    opening = F.when(is_cash(), 1.0).otherwise(0.0) if initial == "cash" else 1.0 / F.col("__names")
+    entered = F.col("weight") - F.when(F.col("__step") == 1, opening).otherwise(0.0)
+    moves = placed.select(
+        "portfolio_id",
+        "ticker",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.col("decision_date"), entered.alias("__w"), (F.col("weight") * F.col("return")).alias("__gain")
+                ),
+                F.struct(
+                    F.col("__next").alias("decision_date"), (-F.col("drifted_weight")).alias("__w"), F.lit(0.0).alias("__gain")
+                ),
+            )
+        ),
+    ).filter(F.col("decision_date").isNotNull())
+    by_name = moves.groupBy(*KEYS, "ticker").agg(F.abs(F.sum("__w")).alias("__d"), F.sum("__gain").alias("__gain"))
+    return by_name.groupBy(*KEYS).agg(F.sum("__gain").alias("gross_return"), F.sum("__d").alias("turnover"))
 
 
 def with_value(periods: DataFrame) -> DataFrame:
@@ -195,6 +193,7 @@ def ledger(
     cfg: LedgerConfig | None = None,
     benchmark: DataFrame | None = None,
     checked: bool = False,
+    wide: bool | None = None,
 ) -> DataFrame:
     """One row per portfolio and decision date: gross, turnover, cost, net, value, peak, drawdown.
 
@@ -202,9 +201,9 @@ def ledger(
     A portfolio's path runs over all its dates, so splits continue one another.
     """
     cfg = cfg or LedgerConfig()
-    rows = with_returns(executed_weights(targets, returns, cfg, checked), returns)
-    totals = period_totals(rows)
-    periods = totals.select(*KEYS, "gross_return").join(turnover(rows, totals, cfg.initial), list(KEYS))
+    wide = is_wide(targets, KEYS, wide)
+    rows = with_returns(executed_weights(targets, returns, cfg, checked, wide), returns)
+    periods = period_rows(rows, cfg.initial, wide)
     if cfg.average_dollar_volume is None:
         cost = F.col("turnover") * cfg.cost_rate
         periods = periods.withColumns({"transaction_cost": cost, "net_return": F.col("gross_return") - cost})

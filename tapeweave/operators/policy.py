@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeweave.config import PolicyConfig
+from tapeweave.functions.groups import is_wide, with_stats
 from tapeweave.functions.sequential import stream_portfolios
 from tapeweave.operators.weights import CASH, KEYS, is_cash
+from tapeweave.session import cut_lineage
 
 FLAT, BUY, HOLD, SELL = "FLAT", "BUY", "HOLD", "SELL"
 PROBABILITIES = ("p_buy", "p_hold", "p_sell")
@@ -35,60 +37,55 @@ def action_column(cfg: PolicyConfig, weight: str = "weight") -> Column:
 
 
 def decide(holdings: DataFrame, probabilities: DataFrame, cfg: PolicyConfig, keys=KEYS) -> DataFrame:
-    """Gate each asset by what is held; rows for names without holdings start at weight 0."""
-    risky = holdings.filter(~is_cash()).select(*keys, "ticker", "weight")
-    rows = probabilities.join(risky, [*keys, "ticker"], "left").fillna(0.0, ["weight"])
-    rows = rows if "tradable" in rows.columns else rows.withColumn("tradable", F.lit(True))
-    return rows.withColumn("action", action_column(cfg))
+    """Gate each asset by what is held. The cash row comes along without an action.
+
+    Names without holdings start at weight 0; holdings without probabilities cannot trade.
+    """
+    rows = probabilities if "tradable" in probabilities.columns else probabilities.withColumn("tradable", F.lit(True))
+    rows = rows.withColumn("tradable", F.coalesce("tradable", F.lit(True)))
+    both = rows.join(holdings.select(*keys, "ticker", "weight"), [*keys, "ticker"], "full")
+    both = both.fillna(0.0, ["weight"]).fillna(False, ["tradable"])
+    return both.withColumn("action", F.when(~is_cash(), action_column(cfg)))
 
 
-def fund(decisions: DataFrame, holdings: DataFrame, cfg: PolicyConfig, keys=KEYS) -> DataFrame:
+def fund(decisions: DataFrame, cfg: PolicyConfig, keys=KEYS, wide: bool | None = None) -> DataFrame:
     """Sell, keep holds, then admit ranked buys while slots and cash last.
 
     Every entry costs the same weight, so the admitted buys are the first
-    ``min(slots, cash / entry)`` by probability and ticker. Ranking keeps ``max_positions``
-    rows per cross-section before it shuffles. Cash is the row ``CASH``.
+    ``min(slots, cash / entry)`` by probability and ticker. Wide cross-sections rank only
+    ``max_positions`` rows per group and map task.
     """
-    sold = F.col("action") == SELL
-    kept = ~sold & (F.col("weight") > cfg.holding_epsilon)
-    books = decisions.groupBy(*keys).agg(
-        F.sum(F.when(sold, F.col("weight")).otherwise(0.0)).alias("__freed"), F.count_if(kept).alias("__kept")
-    )
-    cash = holdings.filter(is_cash()).select(*keys, F.col("weight").alias("__cash"))
-    books = books.join(cash, list(keys), "left").withColumn(
-        "__funds", F.coalesce("__cash", F.lit(0.0)) + F.col("__freed")
-    )
-    afford = F.floor((F.col("__funds") + 1e-12) / cfg.entry_weight)
-    books = books.withColumn("__room", F.least(cfg.max_positions - F.col("__kept"), afford))
-    by_probability = Window.partitionBy(*keys).orderBy(F.col("p_buy").desc(), F.col("ticker"))
-    ranked = (
-        decisions.filter(F.col("action") == BUY)
-        .withColumn("__rank", F.row_number().over(by_probability))
-        .filter(F.col("__rank") <= cfg.max_positions)
-        .select(*keys, "ticker", "__rank")
-    )
-    admitted = ranked.join(books, list(keys)).filter(F.col("__rank") <= F.col("__room"))
-    marked = admitted.select(*keys, "ticker", F.lit(True).alias("admitted"))
-    assets = decisions.join(marked, [*keys, "ticker"], "left").withColumn(
-        "admitted", F.coalesce("admitted", F.lit(False))
+    wide = is_wide(decisions, keys, wide)
+    decisions = cut_lineage(decisions) if wide else decisions
+    sold, buy = F.col("action") == SELL, F.col("action") == BUY
+    kept = ~is_cash() & ~sold & (F.col("weight") > cfg.holding_epsilon)
+    books = with_stats(
+        decisions.fillna("", ["action"]),
+        keys,
+        wide,
+        __funds=F.sum(F.when(sold | is_cash(), F.col("weight")).otherwise(0.0)),
+        __kept=F.count(F.when(kept, 1)),
     )
+    room = F.least(cfg.max_positions - F.col("__kept"), F.floor((F.col("__funds") + 1e-12) / cfg.entry_weight))
+    first = Window.partitionBy(*keys).orderBy(buy.desc(), F.col("p_buy").desc(), F.col("ticker"))
+    if wide:
+        top = books.filter(buy).withColumn("__rank", F.row_number().over(first))
+        top = top.filter(F.col("__rank") <= cfg.max_positions).select(*keys, "ticker", "__rank")
+        books = books.join(top, [*keys, "ticker"], "left")
+    else:
+        books = books.withColumn("__rank", F.row_number().over(first))
+    marked = books.withColumn("admitted", F.coalesce(buy & (F.col("__rank") <= room), F.lit(False)))
+    out = with_stats(marked, keys, wide, __entries=F.count(F.when(F.col("admitted"), 1)))
     target = (
-        F.when(sold, 0.0).when(F.col("admitted"), cfg.entry_weight).otherwise(F.greatest("weight", F.lit(0.0)))
+        F.when(is_cash(), F.greatest(F.col("__funds") - F.col("__entries") * cfg.entry_weight, F.lit(0.0)))
+        .when(sold, 0.0)
+        .when(F.col("admitted"), cfg.entry_weight)
+        .otherwise(F.greatest("weight", F.lit(0.0)))
     )
-    assets = assets.select(
-        *keys, "ticker", "action", "admitted",
-        ((F.col("action") == BUY) & ~F.col("admitted")).alias("rejected"), target.alias("target_weight"),
+    return out.select(
+        *keys, "ticker", F.nullif("action", F.lit("")).alias("action"), "admitted",
+        (buy & ~F.col("admitted")).alias("rejected"), target.alias("target_weight"),
     )
-    spent = admitted.groupBy(*keys).agg((F.count(F.lit(1)) * cfg.entry_weight).alias("__spent"))
-    rest = books.join(spent, list(keys), "left").select(
-        *keys,
-        F.lit(CASH).alias("ticker"),
-        F.lit(None).cast("string").alias("action"),
-        F.lit(False).alias("admitted"),
-        F.lit(False).alias("rejected"),
-        F.greatest(F.col("__funds") - F.coalesce("__spent", F.lit(0.0)), F.lit(0.0)).alias("target_weight"),
-    )
-    return assets.unionByName(rest)
 
 
 def replay(rows: DataFrame, cfg: PolicyConfig) -> DataFrame:
