@@ -1,6 +1,6 @@
 """Registered queries and the DuckDB statement each must agree with."""
 
 from gate.base import ORACLE, QUERIES
-from gate import features, market, portfolio, transform
+from gate import features, market, portfolio, research, transform
 
-__all__ = ["ORACLE", "QUERIES", "features", "market", "portfolio", "transform"]
+__all__ = ["ORACLE", "QUERIES", "features", "market", "portfolio", "research", "transform"]

@@ -46,12 +46,13 @@ def weekly(spark, sf):
     return cut_lineage(cal.weekly_calendar(bars(spark, sf)))
 
 
-def returns(spark, sf):
-    return cal.open_to_open_returns(bars(spark, sf), weekly(spark, sf))
+def returns(spark, sf, calendar=None):
+    """Holding returns, read by several steps of most queries: written once."""
+    return cut_lineage(cal.open_to_open_returns(bars(spark, sf), calendar or weekly(spark, sf)))
 
 
-def market_returns(spark, sf):
-    return cal.open_to_open_returns(bench(spark, sf), weekly(spark, sf))
+def market_returns(spark, sf, calendar=None):
+    return cal.open_to_open_returns(bench(spark, sf), calendar or weekly(spark, sf))
 
 
 MARKET_RETURNS = """mreturns AS (SELECT w.*, z.open / a.open - 1 AS ret FROM weekly w

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gate.base import BARS, BENCH, MACRO, RETURNS, WEEKLY, add, bars, macro, sig, sig_sql, sigs, sigs_sql, with_sql
-from gate.market import MARKET_RETURNS, market_returns, returns
+from gate.market import MARKET_RETURNS, market_returns, returns, weekly
 from gate.transform import split_table, splits_sql
 from tapeweave.config import LedgerConfig, PolicyConfig, RewardConfig
 from tapeweave.operators import covariance, ledger, metrics, policy, reporting, splits, weights
@@ -115,8 +115,8 @@ add(
 )
 
 
-def portfolios(s, sf):
-    return weights.policy_portfolios(returns(s, sf))
+def portfolios(s, sf, held=None):
+    return weights.policy_portfolios(held or returns(s, sf))
 
 
 PW = """cnt AS (SELECT decision_date, count(*) AS n FROM returns GROUP BY 1),
@@ -246,16 +246,16 @@ va AS (SELECT *, product(1 + net) OVER (PARTITION BY p ORDER BY decision_date) A
 lg AS (SELECT v.*, pk, 1 - val / pk AS dd, m.ret AS b FROM (SELECT *, greatest(1, max(val) OVER (PARTITION BY p ORDER BY decision_date)) AS pk FROM va) v LEFT JOIN mreturns m USING (decision_date))"""
 
 
-def benchmark_returns(s, sf):
-    return market_returns(s, sf).select("decision_date", F.col("return").alias("benchmark_return"))
-
-
 def book(s, sf, cfg=COST):
-    return ledger.ledger(portfolios(s, sf), returns(s, sf), cfg, benchmark_returns(s, sf), checked=True)
+    calendar = weekly(s, sf)
+    held = returns(s, sf, calendar)
+    market = market_returns(s, sf, calendar).select("decision_date", F.col("return").alias("benchmark_return"))
+    return ledger.ledger(portfolios(s, sf, held), held, cfg, market, checked=True)
 
 
 def _rows(s, sf):
-    return ledger.with_returns(portfolios(s, sf), returns(s, sf))
+    held = returns(s, sf)
+    return ledger.with_returns(portfolios(s, sf, held), held)
 
 
 add(
