@@ -226,34 +226,48 @@ def with_recent_windows(features: DataFrame, cfg: DeskConfig) -> DataFrame:
     )
 
 
-def zone(levels: Column, side: str, fallback: str, cfg: DeskConfig) -> Column:
-    """Struct (low, high, touches) of the level cluster next to the close.
+def level_clusters(levels: Column, side: str, fallback: str, cfg: DeskConfig) -> Column:
+    """Levels on one side of the close, folded into clusters in ascending order.
 
-    Sorted levels are folded into clusters: a level joins while it lies within the tolerance of
-    the running cluster mean. Demand uses the highest cluster below the close, supply the lowest
-    above it.
+    A level joins the last cluster while it lies within the tolerance of that cluster's mean.
     """
-    close, atr = F.col("close"), F.col("atr")
-    keep = (lambda x: x < close) if side == "demand" else (lambda x: x > close)
-    chosen = F.filter(levels, keep)
+    close, tolerance = F.col("close"), cfg.zone_cluster_atr * F.col("atr")
+    chosen = F.filter(levels, (lambda x: x < close) if side == "demand" else (lambda x: x > close))
     chosen = F.array_sort(F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.col(fallback))))
-    tolerance = cfg.zone_cluster_atr * atr
-    empty = F.array().cast("array<array<double>>")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
+    start = F.array().cast("array<struct<total:double,levels:array<double>>>")
 
     def add(groups, level):
-        tail = F.element_at(groups, -1)
-        joins = (F.size(groups) > 0) & (F.abs(level - mean(F.try_element_at(groups, F.lit(-1)))) <= tolerance)
-        grown = F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(F.concat(tail, F.array(level))))
-        return F.when(joins, grown).otherwise(F.concat(groups, F.array(F.array(level))))
+        tail = F.try_element_at(groups, F.lit(-1))
+        joins = F.abs(level - tail["total"] / F.size(tail["levels"])) <= tolerance
+        total = F.when(joins, tail["total"]).otherwise(0.0) + level
+        members = F.when(joins, tail["levels"]).otherwise(F.array().cast("array<double>"))
+        kept = F.when(joins, F.slice(groups, 1, F.size(groups) - 1)).otherwise(groups)
+        return F.concat(kept, F.array(F.struct(total.alias("total"), F.concat(members, F.array(level)).alias("levels"))))
 
-    groups = F.aggregate(chosen, empty, add)
-    cluster = F.element_at(groups, -1) if side == "demand" else F.element_at(groups, 1)
-    half = F.size(cluster) / F.lit(2.0)
-    at = lambda i: F.element_at(cluster, i.cast("int"))
-    center = (at(F.floor((F.size(cluster) + 1) / F.lit(2))) + at(F.floor(half) + 1)) / 2
-    width = F.greatest(cfg.zone_half_width_atr * atr, center * 0.0025)
-    return F.struct((center - width).alias("low"), (center + width).alias("high"), F.size(cluster).alias("touches"))
+    return F.aggregate(chosen, start, add)
+
+
+def with_zones(rows: DataFrame, cfg: DeskConfig) -> DataFrame:
+    """Structs ``__demand`` and ``__supply`` (low, high, touches) of the clusters next to the close.
+
+    Demand is the highest cluster below, supply the lowest above; the centre is the median level.
+    """
+    sides = {"demand": ("__low_levels", "support", -1), "supply": ("__high_levels", "resistance", 1)}
+    out = rows.withColumns(
+        {f"__{k}": level_clusters(F.col(lv), k, back, cfg) for k, (lv, back, _) in sides.items()}
+    )
+    out = out.withColumns(
+        {f"__{k}": F.try_element_at(f"__{k}", F.lit(end))["levels"] for k, (_, _, end) in sides.items()}
+    )
+    for k in sides:
+        c, n = F.col(f"__{k}"), F.size(f"__{k}")
+        middle = lambda i: F.try_element_at(c, i.cast("int"))
+        center = (middle(F.floor((n + 1) / F.lit(2))) + middle(F.floor(n / F.lit(2)) + 1)) / 2
+        out = out.withColumn(f"__center_{k}", center)
+        width = F.greatest(cfg.zone_half_width_atr * F.col("atr"), F.col(f"__center_{k}") * 0.0025)
+        edges = ((F.col(f"__center_{k}") - width).alias("low"), (F.col(f"__center_{k}") + width).alias("high"))
+        out = out.withColumn(f"__{k}", F.struct(*edges, n.alias("touches")))
+    return out
 
 
 def scenario(direction: str, cfg: DeskConfig) -> Column:
@@ -331,10 +345,8 @@ def volume_state() -> Column:
 
 def with_state(rows: DataFrame, cfg: DeskConfig) -> DataFrame:
     """Zones, labels, scenarios and an error text for rows that miss a required number."""
-    out = rows.withColumns(
+    out = with_zones(rows, cfg).withColumns(
         {
-            "__demand": zone(F.col("__low_levels"), "demand", "support", cfg),
-            "__supply": zone(F.col("__high_levels"), "supply", "resistance", cfg),
             "primary_trend": trend(),
             "avwap_state": avwap_state(),
             "price_volume_state": volume_state(),

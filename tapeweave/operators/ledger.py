@@ -194,15 +194,17 @@ def ledger(
     benchmark: DataFrame | None = None,
     checked: bool = False,
     wide: bool | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """One row per portfolio and decision date: gross, turnover, cost, net, value, peak, drawdown.
 
     With ``benchmark`` (decision_date, benchmark_return; one row per date) the reward is added.
-    A portfolio's path runs over all its dates, so splits continue one another.
+    A portfolio's path runs over all its dates, so splits continue one another. A held name
+    without a return is an error, or with ``strict`` off earns nothing on that date.
     """
     cfg = cfg or LedgerConfig()
     wide = is_wide(targets, KEYS, wide)
-    rows = with_returns(executed_weights(targets, returns, cfg, checked, wide), returns)
+    rows = with_returns(executed_weights(targets, returns, cfg, checked, wide), returns, strict)
     periods = period_rows(rows, cfg.initial, wide)
     if cfg.average_dollar_volume is None:
         cost = F.col("turnover") * cfg.cost_rate
