@@ -96,8 +96,14 @@ class Series:
 
 
 def present_in(window: WindowSpec, agg, x, least: int) -> Column:
+    """``agg`` over the frame, null below ``least`` present values.
+
+    Aggregates of nothing and spreads of one value are null by themselves; only then is no
+    second aggregate over the frame needed.
+    """
     value = agg(col(x)).over(window)
-    return value if least <= 0 else F.when(F.count(col(x)).over(window) >= least, value)
+    natural = 2 if agg in (F.stddev_samp, F.var_samp) else 1
+    return value if least <= natural else F.when(F.count(col(x)).over(window) >= least, value)
 
 
 def ratio(num: Column, den: Column) -> Column:
