@@ -365,7 +365,7 @@ def metrics_sql(source: str, keys: str, n: str = "net", t: str = "turnover", c:
 ddv AS (SELECT *, 1 - eq / max(eq) OVER (PARTITION BY {keys} ORDER BY decision_date) AS mdd FROM eqv),
 agg AS (SELECT {keys}, count(*) AS k, max_by(eq, decision_date) AS grown, product(1 + b) AS bg, avg({n}) AS mu, stddev_pop({n}) AS sd, avg(b) AS bm, var_pop(b) AS bv,
   covar_pop({n}, b) AS cv, sqrt(avg(pow(least({n}, 0), 2))) AS dn, avg({n} - b) AS am, stddev_pop({n} - b) AS asd, max(mdd) AS mdd, avg({t}) AS mt, sum({c}) AS tc FROM ddv GROUP BY {keys}),
-met AS (SELECT {keys}, grown - 1 AS cumulative_return, pow(grown, {p}.0 / k) - 1 AS annualized_return, sd * sqrt({p}) AS volatility, mdd AS max_drawdown, mt AS mean_turnover,
+met AS (SELECT {keys}, bg - 1 AS bench_return, grown - 1 AS cumulative_return, pow(grown, {p}.0 / k) - 1 AS annualized_return, sd * sqrt({p}) AS volatility, mdd AS max_drawdown, mt AS mean_turnover,
   tc AS total_transaction_cost, grown - bg AS relative_alpha, CASE WHEN sd > 0 THEN mu / sd * sqrt({p}) ELSE 0 END AS sharpe_ratio,
   CASE WHEN dn > 0 THEN mu * {p} / (dn * sqrt({p})) ELSE 0 END AS sortino_ratio, CASE WHEN mdd > 0 THEN (pow(grown, {p}.0 / k) - 1) / mdd ELSE 0 END AS calmar_ratio,
   asd * sqrt({p}) AS tracking_error, CASE WHEN asd > 0 THEN am * {p} / (asd * sqrt({p})) ELSE 0 END AS information_ratio,
@@ -432,7 +432,7 @@ add(
     lambda s, sf: metrics.split_metrics_table(by_split(s, sf), split_table(s, sf), 52).select("portfolio_id", "split_index", "test_start", "test_end", *sigs(*SHORT)),
     with_sql(*BASE, PW, LEDGER, splits_sql(), PERIOD_SQL, metrics_sql("lt", "p, split_index, test_start, test_end"))
     + "\nSELECT p AS portfolio_id, split_index, test_start, test_end, "
-    + ", ".join(sig_sql(x, a) for x, a in zip(("cumulative_return", "cumulative_return - relative_alpha", "relative_alpha", "max_drawdown", "sharpe_ratio", "information_ratio"), SHORT))
+    + ", ".join(sig_sql(x, a) for x, a in zip(("cumulative_return", "bench_return", "relative_alpha", "max_drawdown", "sharpe_ratio", "information_ratio"), SHORT))
     + " FROM met",
 )
 

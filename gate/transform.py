@@ -305,14 +305,16 @@ add(
 )
 STUDY_FEATURES = ["cmf", "mom_21d", "natr_20", "ewma50_slope"]
 STUDY_LABELS = ["future_return_5d", "future_return_60d", "future_max_drawdown_20d"]
-STUDY_CTE = f"""study AS (SELECT * FROM (SELECT date, ticker, close, {', '.join(f'{EXPR[c]} AS x_{c}' for c in STUDY_FEATURES)},
-  {_future(5)} AS x_future_return_5d, {_future(60)} AS x_future_return_60d, {_future_low(20)} AS x_future_max_drawdown_20d FROM k)
+# Both engines round to nine decimals here, so that equal values tie whatever the summation order.
+STUDY_CTE = f"""study AS (SELECT * FROM (SELECT date, ticker, close, {', '.join(f'round({EXPR[c]}, 9) AS x_{c}' for c in STUDY_FEATURES)},
+  round({_future(5)}, 9) AS x_future_return_5d, round({_future(60)}, 9) AS x_future_return_60d, round({_future_low(20)}, 9) AS x_future_max_drawdown_20d FROM k)
   WHERE {' AND '.join(f'x_{c} IS NOT NULL' for c in [*STUDY_FEATURES, *STUDY_LABELS])})"""
 
 
 def study(s, sf):
     b = bars(s, sf)
-    return datasets.study_dataset(asset_features(b), labels.study_labels(b, (5, 60), (20,)), STUDY_FEATURES, STUDY_LABELS)
+    rows = datasets.study_dataset(asset_features(b), labels.study_labels(b, (5, 60), (20,)), STUDY_FEATURES, STUDY_LABELS)
+    return rows.withColumns({c: F.round(c, 9) for c in (*STUDY_FEATURES, *STUDY_LABELS)})
 
 
 add(
