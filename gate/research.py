@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gate.base import BARS, add, bars, sig, sig_sql, sigs, sigs_sql, with_sql
-from gate.features import EXPR, _lag, _roll, features_sql
+from gate.features import EXPR, _lag, _roll, expressions, features_sql
 from gate.transform import STUDY_CTE, STUDY_FEATURES, STUDY_LABELS, study
-from tapeweave.config import DeskConfig
+from tapeweave.config import DeskConfig, study_features
 from tapeweave.operators import desk, efficacy, reporting
 from tapeweave.operators.asset_features import asset_features
 from tapeweave.plans.desk_scan import ranked_scan, scan_bars
+from tapeweave.plans.efficacy_study import study_feature_table
 from tapeweave.session import cut_lineage
 
 CFG = DeskConfig()
@@ -254,3 +255,9 @@ add(
         extra=[STUDY_CTE, *TICKERS],
     ),
 )
+FAMILY = ["cmf", "cmf_slope", "frog_in_the_pan"]
+add(
+    "b4_family_columns",
+    lambda s, sf: study_feature_table(bars(s, sf), ("cmf", "frog_in_the_pan"), FAMILY, study_features()).select("date", "ticker", *sigs(*FAMILY)),
+    features_sql("SELECT date, ticker, " + ", ".join(sig_sql(expressions(True)[c], c) for c in FAMILY) + " FROM k", study=True),
+)
