@@ -87,19 +87,20 @@ def links(prints: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFr
     """
     if radius != 2:
         raise ValueError("The grid steps by one cell on either side, which is a radius of 2.")
-    cells = prints.select("fp", F.expr(COUNTS).alias("counts")).select("fp", F.expr(f"explode({COUNT_CELLS})").alias("cell"))
+    # explode_outer: for the plain form the optimizer adds a filter on the array's size, which builds every array twice
+    cells = prints.select("fp", F.expr(COUNTS).alias("counts")).select("fp", F.expr(f"explode_outer({COUNT_CELLS})").alias("cell"))
     crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("cell")
     small = cells.join(crowded, "cell", "left_anti").groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = small.where(F.size("fps") > 1).select(
         F.expr(
-            f"""explode(flatten(transform(fps, a -> transform(
+            f"""explode_outer(flatten(transform(fps, a -> transform(
                 filter(fps, b -> b > a AND bit_count(a ^ b) <= {radius}), b -> struct(a AS a, b AS b)))))"""
         ).alias("p")
-    ).select("p.a", "p.b")
+    ).where("p IS NOT NULL").select("p.a", "p.b")
     packed = cells.join(crowded, "cell", "left_semi").select("fp").distinct()
-    balls = packed.select("fp", F.expr(f"explode({BIT_CELLS})").alias("ball"))
+    balls = packed.select("fp", F.expr(f"explode_outer({BIT_CELLS})").alias("ball"))
     stars = balls.groupBy("ball").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    stars = stars.select(F.element_at("fps", 1).alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b"))
+    stars = stars.select(F.element_at("fps", 1).alias("a"), F.explode_outer(F.slice("fps", 2, 65)).alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
