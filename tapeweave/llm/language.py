@@ -46,14 +46,14 @@ SLICE = 1 << 20  # characters handled at a time
 
 def trigrams(text: str):
     """Bucket counts of the trigrams of the lower-cased letters, runs of other characters as one space."""
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    text, total = f" {text} ", np.zeros(BUCKETS, dtype=np.int64)
     for at in range(0, len(text), SLICE):
         codes = np.frombuffer(text[at : at + SLICE + 2].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         letter = (codes >= 97) & (codes <= 122) | (codes >= 170) & (codes != 215) & (codes != 247)
         codes = np.where(letter, codes, 32).astype(np.uint64)
         codes = codes[(codes != 32) | np.r_[True, codes[:-1] != 32]]
         if len(codes) < 3:
-            continue
+            continue  # no letter
         with np.errstate(over="ignore"):
             h = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1]) * np.uint64(0x85EBCA77) + codes[2:]
             h = (h ^ (h >> np.uint64(15))) * np.uint64(0xC2B2AE3D)

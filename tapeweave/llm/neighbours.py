@@ -37,7 +37,7 @@ from tapeweave.llm.common import cut_lineage
 
 BITS = 128
 SAMPLE = 4000
-RECALL = 0.95
+RECALL = 0.98
 SHARD = 8192
 BLOCK = 2048
 SEED = 11

@@ -33,6 +33,8 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 CACHED = 250_000  # words per worker
 THRESHOLD = 0.3
+#: Features without a vector that every text is taken to have, so that a few words alone decide little.
+BLANK = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SAME = 0  # bucket of a word that repeats its neighbour
 
@@ -110,7 +112,7 @@ class Model:
     constant: float
 
     def odds(self, total: float, n: float) -> float:
-        return self.constant + (total / n if n else 0.0)
+        return self.constant + total / (n + BLANK)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], how: Training) -> Model:
@@ -124,7 +126,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], how: Training) -> Mode
             at, times, label = bags[i]
             rate = how.rate * (1 - done / steps)
             done += 1
-            weight = times / max(1, times.sum())
+            weight = times / (times.sum() + BLANK)
             hidden = weight @ vectors[at]
             z = hidden @ out + bias
             p = np.exp(z - z.max())

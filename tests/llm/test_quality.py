@@ -54,7 +54,7 @@ def test_scores_match_a_plain_average(spark):
     small = quality.Scorer(model, limit=30)
     for text in texts + texts:
         at, times = quality.counts(text)
-        odds = 0.25 + (times @ model.parts[at] / times.sum() if len(at) else 0.0)
+        odds = 0.25 + times @ model.parts[at] / (times.sum() + quality.BLANK)
         assert np.isclose(small.score(text), 1 / (1 + np.exp(-odds)))
 
 
