@@ -205,6 +205,35 @@ add(
     lambda s, sf: efficacy.correlation_matrix(data(s, sf), STUDY_FEATURES).select(F.col("left").alias("a"), F.col("right").alias("b"), sig("correlation")),
     features_sql(f"SELECT feature AS a, label AS b, {sig_sql('correlation')} FROM cor", extra=[STUDY_CTE, ranks_cte(), corr_cte(cols=STUDY_FEATURES)]),
 )
+
+
+def gappy(s, sf):
+    """The study table with holes: features on every seventh, labels on every fifth day of the month."""
+    day = F.dayofmonth("date")
+    holes = {c: F.when(day % 7 != i, F.col(c)) for i, c in enumerate(STUDY_FEATURES)}
+    holes |= {c: F.when(day % 5 != i, F.col(c)) for i, c in enumerate(STUDY_LABELS)}
+    return data(s, sf).withColumns(holes)
+
+
+def _hole(c: str) -> str:
+    names = STUDY_FEATURES if c in STUDY_FEATURES else STUDY_LABELS
+    return f"(CASE WHEN day(date) % {7 if c in STUDY_FEATURES else 5} <> {names.index(c)} THEN x_{c} END)"
+
+
+def _gap_pair(f: str, l: str) -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f"""SELECT '{f}' AS feature, '{l}' AS label, corr(rx, ry) AS correlation FROM (
+  SELECT {rank('x')} AS rx, {rank('y')} AS ry FROM (SELECT {_hole(f)} AS x, {_hole(l)} AS y FROM study) WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
+add(
+    "y2_spearman_with_gaps",
+    lambda s, sf: efficacy.feature_label_correlations(gappy(s, sf), STUDY_FEATURES, STUDY_LABELS).select("feature", "label", sig("correlation")),
+    features_sql(
+        f"SELECT feature, label, {sig_sql('correlation')} FROM cor",
+        extra=[STUDY_CTE, f"cor AS ({' UNION ALL '.join(_gap_pair(f, l) for f in STUDY_FEATURES for l in STUDY_LABELS)})"],
+    ),
+)
 YEARLY = ["yst AS (SELECT *, year(date)::INT AS yr FROM study)", ranks_cte("yr", "yst"), corr_cte("yr")]
 add(
     "y4_by_year",
@@ -227,7 +256,7 @@ add(
 )
 PF, PL, PC = ["mom_21d", "natr_20", "ewma50_slope"], "future_return_60d", "cmf"
 RESID = f"""rm AS (SELECT avg(r_{PC}) AS mc, {', '.join(f'avg(r_{c}) AS m_{c}, covar_pop(r_{c}, r_{PC}) / var_pop(r_{PC}) AS b_{c}' for c in [*PF, PL])} FROM rks),
-rz AS (SELECT {', '.join(f'round(r_{c} - m_{c} - b_{c} * (r_{PC} - mc), 9) AS x_{c}' for c in [*PF, PL])} FROM rks, rm),
+rz AS (SELECT {', '.join(f'r_{c} - m_{c} - b_{c} * (r_{PC} - mc) AS x_{c}' for c in [*PF, PL])} FROM rks, rm),
 rr AS (SELECT *, {', '.join(f'rank() OVER (ORDER BY x_{c}) + (count(*) OVER (PARTITION BY x_{c}) - 1) / 2.0 AS r_{c}' for c in [*PF, PL])} FROM rz)"""
 PARTIAL = [STUDY_CTE, ranks_cte(), corr_cte(rows=PF, cols=[PL]), RESID, corr_cte(source="rr", out="par", rows=PF, cols=[PL])]
 add(

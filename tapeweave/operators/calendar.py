@@ -21,7 +21,7 @@ def _sessions(bars: DataFrame) -> DataFrame:
 def align_to_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     require_columns(calendar, ["date"], "calendar")
     dates = calendar.select(F.col("date").cast("date").alias("date")).distinct()
-    return enforce_ohlcv(bars).join(F.broadcast(dates), "date", "left_semi")
+    return enforce_ohlcv(bars).join(dates, "date", "left_semi")
 
 
 def weekly_calendar(bars: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ CALENDARS = {"daily": daily_calendar, "weekly": weekly_calendar}
 
 def rebalance_calendar(bars: DataFrame, frequency: str) -> DataFrame:
     if frequency not in CALENDARS:
-        raise ValueError("frequency must be 'daily' or 'weekly'.")
+        raise ValueError(f"No calendar for {frequency!r}; known: {sorted(CALENDARS)}.")
     return CALENDARS[frequency](bars)
 
 
@@ -61,7 +61,7 @@ def valid_opens(bars: DataFrame) -> DataFrame:
 def execution_prices(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Opens at each execution date (one calendar row to many tickers)."""
     opens = valid_opens(bars).withColumnRenamed("date", "execution_date")
-    return opens.join(F.broadcast(calendar.select(*CALENDAR_COLUMNS)), "execution_date")
+    return opens.join(calendar.select(*CALENDAR_COLUMNS), "execution_date")
 
 
 def open_to_open_returns(bars: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def open_to_open_returns(bars: DataFrame, calendar: DataFrame) -> DataFrame:
             )
         ),
     )
-    used = valid_opens(bars).join(F.broadcast(uses), "date")
+    used = valid_opens(bars).join(uses, "date")
     paired = used.groupBy(*CALENDAR_COLUMNS, "ticker").agg(
         F.max(F.when(F.col("__enters"), F.col("open"))).alias("open"),
         F.max(F.when(~F.col("__enters"), F.col("open"))).alias("next_open"),
@@ -102,7 +102,7 @@ def decision_dates(table: DataFrame) -> DataFrame:
     if "decision_date" in names:
         return table.select(F.col("decision_date").cast("date").alias("date"))
     if "date" not in names:
-        raise ValueError("Calendar must contain either 'decision_date' or 'date'.")
+        raise ValueError(f"No date column among {sorted(names)}.")
     if {"ticker", "open", "high", "low", "close", "adj_close", "volume"} <= names:
         return weekly_calendar(table).select(F.col("decision_date").alias("date"))
     return (
@@ -114,7 +114,7 @@ def keep_dates(table: DataFrame, dates: DataFrame, on: str = "date", dates_colum
     """Rows whose date is listed."""
     require_columns(table, [on], "table")
     wanted = dates.select(F.col(dates_column or on).cast("date").alias(on))
-    return table.join(F.broadcast(wanted), on, "left_semi")
+    return table.join(wanted, on, "left_semi")
 
 
 def complete_cross_sections(

@@ -17,7 +17,7 @@ def shrunk_covariance(
     never a pair of data rows.
     """
     if not 0 <= shrinkage <= 1:
-        raise ValueError("shrinkage must be in [0, 1].")
+        raise ValueError(f"A shrinkage of {shrinkage} is no share.")
     names = list(tickers)
     # position columns keep arbitrary ticker text out of column references
     where = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(t), F.lit(i))])

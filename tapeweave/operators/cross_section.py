@@ -4,33 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeweave.functions.groups import SPLIT_ABOVE, is_wide, percentile_from_rank, with_average_rank, with_stats
+from tapeweave.functions.groups import percentile_from_rank, with_average_ranks, with_stats
 from tapeweave.functions.windows import Series, ratio
 from tapeweave.operators.routing import RANK_SUFFIX
 from tapeweave.sources.schema import require_columns
 
 
 def percentile_rank(
-    df: DataFrame, value: str, output: str | None = None, on: str = "date", split_above: int = SPLIT_ABOVE
+    df: DataFrame, value: str, output: str | None = None, on: str = "date", wide: bool = False
 ) -> DataFrame:
     """Average-tie percentile rank within each date; nulls count in n and stay null."""
-    require_columns(df, [on, value], "rank input")
-    wide = is_wide(df, [on], split_above=split_above)
-    out = with_average_rank(df, [on], value, "__rank", split_above=split_above, wide=wide)
-    out = with_stats(out, [on], wide, __n=F.count(F.lit(1)))
-    return out.withColumn(output or value + RANK_SUFFIX, percentile_from_rank("__rank", F.col("__n"))).drop(
-        "__rank", "__n"
-    )
+    return _percentile_ranks(df, {output or value + RANK_SUFFIX: value}, on, wide)
+
+
+def _percentile_ranks(df: DataFrame, outputs: dict[str, str], on: str, wide: bool) -> DataFrame:
+    require_columns(df, [on, *outputs.values()], "rank input")
+    ranks = {f"__rank_{i}": (value, True) for i, value in enumerate(outputs.values())}
+    out = with_stats(with_average_ranks(df, [on], ranks, wide), [on], wide, __n=F.count(F.lit(1)))
+    scores = {o: percentile_from_rank(r, F.col("__n")) for o, r in zip(outputs, ranks)}
+    return out.withColumns(scores).drop(*ranks, "__n")
+
 
+def percentile_ranks(df: DataFrame, values, on: str = "date", wide: bool = False) -> DataFrame:
+    """``percentile_rank`` of several columns at once.
 
-def percentile_ranks(df: DataFrame, values, on: str = "date", split_above: int = SPLIT_ABOVE) -> DataFrame:
-    for v in values:
-        df = percentile_rank(df, v, on=on, split_above=split_above)
-    return df
+    ``wide``: a date may hold more rows than a task should sort (see ``functions.groups``).
+    """
+    return _percentile_ranks(df, {v + RANK_SUFFIX: v for v in values}, on, wide)
 
 
 def cross_sectional_zscore(
-    df: DataFrame, value: str, output: str, on: str = "date", wide: bool | None = None
+    df: DataFrame, value: str, output: str, on: str = "date", wide: bool = False
 ) -> DataFrame:
     """Population z-score within each date, 0 where the date has no spread."""
     out = with_stats(df, [on], wide, __mean=F.avg(value), __std=F.stddev_pop(value))

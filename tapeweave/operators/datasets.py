@@ -31,10 +31,10 @@ def feature_panel(rows: DataFrame, names, tickers: DataFrame | None = None, on:
     out = route(rows, names, (on, "ticker"))
     columns = [c for c in out.columns if c not in (on, "ticker")]
     if tickers is not None and (bad := incomplete_dates(out, tickers, on).orderBy(on).first()):
-        raise ValueError(f"Expected one asset feature row per ticker on {bad[on]}.")
+        raise ValueError(f"{bad[on]} does not have every listed ticker exactly once.")
     out = out.fillna(0.0, columns)
     if not out.filter(~all_finite(columns)).isEmpty():
-        raise ValueError("Asset feature panel contains non-finite values.")
+        raise ValueError("A routed feature is infinite or not a number.")
     return out
 
 
@@ -48,7 +48,7 @@ def pooled_training_rows(rows: DataFrame, *masks: str) -> DataFrame:
     """Rows on which every mask holds; none at all is an error."""
     kept = rows.filter(reduce(lambda a, b: a & b, [F.coalesce(F.col(m), F.lit(False)) for m in masks]))
     if kept.isEmpty():
-        raise ValueError("No feature-valid, tradable training observations.")
+        raise ValueError(f"No row passes all of {masks}.")
     return kept
 
 
@@ -69,7 +69,7 @@ def balanced_weights(rows: DataFrame, labels=LABELS, keys=()) -> DataFrame:
         lambda a, b: a | b, [(F.col(f"__{n}") == 0) | (F.col(f"__{n}") == F.col("__rows")) for n in labels]
     )
     if not counts.filter(empty).isEmpty():
-        raise ValueError("Each target needs both positive and negative observations.")
+        raise ValueError("A label has only one class, so its classes cannot be balanced.")
     joined = rows.join(counts, list(keys)) if keys else rows.join(F.broadcast(counts))
     size = lambda n: F.when(F.col(n), F.col(f"__{n}")).otherwise(F.col("__rows") - F.col(f"__{n}"))
     weights = {f"{n}_weight": F.col("__rows") / (2.0 * size(n)) for n in labels}
@@ -81,18 +81,31 @@ def assembled(rows: DataFrame, names, output: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol=output, handleInvalid="error").transform(rows)
 
 
+def unaligned_dates(dates: DataFrame, rows: DataFrame, value: str, on: str = "decision_date", name: str = "ticker") -> DataFrame:
+    """Dates on which a value is missing: no row at all, a null, or no row for a name that other dates have."""
+    named = name in rows.columns
+    cell = F.col(name) if named else F.lit(1)
+    wanted = rows.agg((F.count_distinct(cell) if named else F.lit(1)).alias("__wanted"))
+    present = rows.filter(F.col(value).isNotNull()).groupBy(on).agg(F.count_distinct(cell).alias("__present"))
+    nulls = rows.filter(F.col(value).isNull()).select(on).distinct().withColumn("__null", F.lit(True))
+    seen = dates.select(on).distinct().join(present, on, "left").join(nulls, on, "left")
+    # one row
+    seen = seen.join(F.broadcast(wanted), F.lit(True))
+    short = F.coalesce("__present", F.lit(0)) < F.greatest("__wanted", F.lit(1))
+    return seen.filter(short | F.col("__null").isNotNull()).select(on)
+
+
 def aligned_or_error(dates: DataFrame, rows: DataFrame, value: str, on: str = "decision_date") -> DataFrame:
-    """Left join on dates that refuses missing values."""
-    out = dates.select(on).join(rows, on, "left")
-    if not out.filter(F.col(value).isNull()).isEmpty():
-        raise ValueError("Return table is missing one or more aligned decision dates.")
-    return out
+    """Left join on dates that refuses missing cells: every date needs a value for every name of ``rows``."""
+    if bad := unaligned_dates(dates, rows, value, on).orderBy(on).first():
+        raise ValueError(f"{value} is incomplete on {bad[on]}.")
+    return dates.select(on).join(rows, on, "left")
 
 
 def one_to_one_lookup(rows: DataFrame, lookup: DataFrame, keys) -> DataFrame:
     """Left join on ``keys`` with a lookup that must be unique on them."""
     if not lookup.groupBy(*keys).count().filter("count > 1").isEmpty():
-        raise ValueError(f"Lookup is not unique on {list(keys)}.")
+        raise ValueError(f"Two lookup rows share their {list(keys)}.")
     return rows.join(lookup, list(keys), "left")
 
 

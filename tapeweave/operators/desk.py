@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeweave.config import DeskConfig
 from tapeweave.functions.ewm import Ewm, block_rows_for, with_ewm
-from tapeweave.functions.groups import is_wide, with_average_rank, with_stats
+from tapeweave.functions.groups import with_average_ranks, with_stats
 from tapeweave.functions.windows import (
     POSITION,
     Series,
@@ -113,6 +113,7 @@ def structure(df: DataFrame, s: Series) -> DataFrame:
     old_h, new_h = F.col("__pair_high.old"), F.col("__pair_high.new")
     old_l, new_l = F.col("__pair_low.old"), F.col("__pair_low.new")
     known = old_h.isNotNull() & old_l.isNotNull()
+    # fixed values: the labels
     label = (
         F.when(~F.coalesce(known, F.lit(False)), "insufficient confirmed structure")
         .when((new_h > old_h) & (new_l > old_l), "higher highs and higher lows")
@@ -325,7 +326,7 @@ def trend(close="close", fast="ema_fast", mid="ema_mid", slow="ema_slow") -> Col
 
 def avwap_state() -> Column:
     top, bottom = F.greatest("swing_avwap", "stress_avwap"), F.least("swing_avwap", "stress_avwap")
-    return (
+    return (  # fixed values: the labels
         F.when(top.isNull(), "AVWAP reference unavailable")
         .when(F.col("close") > top, "above all available AVWAP references")
         .when(F.col("close") < bottom, "below all available AVWAP references")
@@ -335,7 +336,7 @@ def avwap_state() -> Column:
 
 def volume_state() -> Column:
     up, down = F.col("__up_volume"), F.col("__down_volume")
-    return (
+    return (  # fixed values: the labels
         F.when(up.isNull() | down.isNull(), "mixed")
         .when(up > down * 1.10, "up-day volume dominant")
         .when(down > up * 1.10, "down-day volume dominant")
@@ -470,17 +471,19 @@ def _mean_present(columns) -> Column:
     return F.try_divide(total, count)
 
 
-def rank_universe(scan: DataFrame) -> DataFrame:
-    """Percentile sleeves over names without error, their mean, ordered best first; errors last."""
+def rank_universe(scan: DataFrame, wide: bool = False) -> DataFrame:
+    """Percentile sleeves over names without error, their mean, ordered best first; errors last.
+
+    The scan has one row per name; ``wide`` is for universes that no task should sort.
+    """
     needed = [c for parts in SLEEVES.values() for c, _ in parts]
     missing = sorted(set(needed) - set(scan.columns))
     if missing:
-        raise ValueError(f"Scan is missing ranking columns: {missing}")
+        raise ValueError(f"The scan cannot be ranked without {missing}.")
     error = F.col("error") if "error" in scan.columns else F.lit(None)
     df = scan.withColumn("__valid", error.isNull())
-    wide = is_wide(df, ["__valid"])
-    for column, up in [p for parts in SLEEVES.values() for p in parts]:
-        df = with_average_rank(df, ["__valid"], column, f"__r_{column}", ascending=up, wide=wide)
+    ranks = {f"__r_{column}": (column, up) for parts in SLEEVES.values() for column, up in parts}
+    df = with_average_ranks(df, ["__valid"], ranks, wide)
     df = with_stats(df, ["__valid"], wide, **{f"__n_{c}": F.count(c) for c in needed})
     share = {f"__r_{c}": F.when(F.col("__valid"), F.try_divide(f"__r_{c}", f"__n_{c}")) for c in needed}
     df = df.withColumns(share)

@@ -1,7 +1,8 @@
 """Feature efficacy: rank and linear correlations, by year, their stability, and partial forms.
 
-Pooled ranks run over every row of a column, so they use the size-aware rank kernel; all
-correlations of a table are then one combining aggregate over wide rank rows.
+A pair is judged on the rows where both of its sides are finite, and ranks are taken on those rows
+alone. So pairs are laid out as rows first, and every pair is one group of the rank kernel:
+whatever is missing elsewhere in a row changes nothing.
 """
 
 from __future__ import annotations
@@ -9,23 +10,40 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeweave.functions.groups import SPLIT_ABOVE, is_wide, with_average_rank
+from tapeweave.functions.groups import with_average_ranks
+from tapeweave.session import cut_lineage
 from tapeweave.sources.schema import finite
 
 METHODS = ("spearman", "pearson")
-ALL = "__all"
+PAIR = ("feature", "label")
 
 
-def _keyed(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
-    return (df, list(keys)) if keys else (df.withColumn(ALL, F.lit(0)), [ALL])
+def _ranked(df: DataFrame, keys, columns, wide: bool) -> DataFrame:
+    """Each column with its average-tie rank within the keys under ``__r_<column>``.
 
+    Wide ranks read their input several times, so the narrow table of pairs is written once.
+    """
+    df = cut_lineage(df) if wide else df
+    return with_average_ranks(df, keys, {f"__r_{c}": (c, True) for c in columns}, wide)
+
+
+def _whole(names) -> Column:
+    """Whether all columns hold finite numbers."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.coalesce(finite(n), F.lit(False))
+    return out
 
-def ranked_columns(df: DataFrame, columns, keys=(), split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Replace each column by its average-tie rank within the keys (``__r_<column>``)."""
-    wide = is_wide(df, keys, split_above=split_above)
-    for c in columns:
-        df = with_average_rank(df, keys, c, f"__r_{c}", split_above=split_above, wide=wide)
-    return df
+
+def _pairs(dataset: DataFrame, keys, pairs, also=()) -> DataFrame:
+    """One row per row and pair: keys, feature, label, x, y and ``also``; numbers are null unless all of them are finite."""
+    entries = []
+    for f, l in pairs:
+        ok = _whole([f, l, *also])
+        sides = {"x": f, "y": l, **{f"c{i}": c for i, c in enumerate(also)}}
+        cells = [F.when(ok, F.col(c).cast("double")).alias(n) for n, c in sides.items()]
+        entries.append(F.struct(F.lit(f).alias("feature"), F.lit(l).alias("label"), *cells))
+    return dataset.select(*keys, F.inline(F.array(*entries)))
 
 
 def _guarded(x: Column, y: Column, raw_x: str, raw_y: str) -> Column:
@@ -35,26 +53,20 @@ def _guarded(x: Column, y: Column, raw_x: str, raw_y: str) -> Column:
 
 
 def feature_label_correlations(
-    dataset: DataFrame, features, labels, method: str = "spearman", keys=(), split_above: int = SPLIT_ABOVE
+    dataset: DataFrame, features, labels, method: str = "spearman", keys=(), wide: bool | None = None
 ) -> DataFrame:
     """Every feature against every label per key: correlation and its absolute value.
 
-    ``dataset`` has no missing numbers (see ``study_dataset``).
+    ``wide`` goes to the rank kernel; without keys a pair holds the whole table, so it is the default there.
     """
     if method not in METHODS:
-        raise ValueError("method must be 'spearman' or 'pearson'")
-    df, by = _keyed(dataset, keys)
-    names = list(dict.fromkeys([*features, *labels]))
+        raise ValueError(f"Unknown correlation method {method!r}; known: {', '.join(METHODS)}.")
+    by = [*keys, *PAIR]
+    df = _pairs(dataset, keys, [(f, l) for f in features for l in labels])
     if method == "spearman":
-        df = ranked_columns(df, names, by, split_above)
+        df = _ranked(df, by, ("x", "y"), not keys if wide is None else wide)
     value = (lambda c: F.col(f"__r_{c}")) if method == "spearman" else F.col
-    pairs = [(f, l) for f in features for l in labels]
-    wide = df.groupBy(*by).agg(*[_guarded(value(f), value(l), f, l).alias(f"c{i}") for i, (f, l) in enumerate(pairs)])
-    entries = [
-        F.struct(F.lit(f).alias("feature"), F.lit(l).alias("label"), F.col(f"c{i}").alias("correlation"))
-        for i, (f, l) in enumerate(pairs)
-    ]
-    out = wide.select(*keys, F.inline(F.array(*entries)))
+    out = df.groupBy(*by).agg(_guarded(value("x"), value("y"), "x", "y").alias("correlation"))
     return out.withColumn("abs_correlation", F.abs("correlation"))
 
 
@@ -65,11 +77,11 @@ def correlation_matrix(dataset: DataFrame, columns, method: str = "spearman", ke
 
 
 def by_year(
-    dataset: DataFrame, features, labels, method: str = "spearman", keys=(), split_above: int = SPLIT_ABOVE
+    dataset: DataFrame, features, labels, method: str = "spearman", keys=(), wide: bool | None = None
 ) -> DataFrame:
     """The same correlations with ranks taken inside each calendar year."""
     dated = dataset.withColumn("year", F.year("date"))
-    return feature_label_correlations(dated, features, labels, method, (*keys, "year"), split_above)
+    return feature_label_correlations(dated, features, labels, method, (*keys, "year"), wide)
 
 
 def stability(yearly: DataFrame, keys=()) -> DataFrame:
@@ -90,69 +102,51 @@ def stability(yearly: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def _moments(df: DataFrame, columns) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, means and covariance of a few columns: one aggregate row."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.covar_pop(columns[i], columns[j]).alias(f"v{i}_{j}") for i, j in pairs],
-    ).first()
-    cov = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"v{i}_{j}"] or 0.0
-    return row.n, np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), cov
-
+def _residual(column: str, n_controls: int, fits: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> Column:
+    """Residual of a rank column on the controls' ranks, with the coefficients of the row's feature."""
+    out = F.lit(None).cast("double")
+    for feature, (mean, means, beta) in fits.items():
+        fitted = sum(((F.col(f"__r_c{i}") - float(means[i])) * float(beta[i]) for i in range(n_controls)), F.lit(0.0))
+        out = F.when(F.col("feature") == feature, F.col(column) - float(mean) - fitted).otherwise(out)
+    return out
 
-def residual(column: str, controls, means: np.ndarray, cov: np.ndarray, index: dict[str, int]) -> Column:
-    """Least-squares residual of one column on the controls, from their moments."""
-    c = [index[x] for x in controls]
-    beta = np.linalg.lstsq(cov[np.ix_(c, c)], cov[c, index[column]], rcond=None)[0]
-    fitted = sum((F.col(x) - means[index[x]]) * float(b) for x, b in zip(controls, beta))
-    return F.col(column) - float(means[index[column]]) - fitted
 
+def partial_spearman(dataset: DataFrame, features, label: str, controls, wide: bool = True) -> DataFrame:
+    """Rank correlation of residual ranks given the controls, per feature; null below ten rows.
 
-def partial_spearman(
-    dataset: DataFrame, features, label: str, controls, split_above: int = SPLIT_ABOVE
-) -> DataFrame:
-    """Rank correlation of residual ranks given the controls; null below ten rows.
-
-    Only moments of the ranks reach the driver, to solve a system as large as the control list.
+    A feature is judged on the rows where it, the label and all controls are finite. One row of rank
+    moments per feature reaches the driver, to solve systems as large as the control list.
     """
-    names = list(dict.fromkeys([*features, label, *controls]))
-    df = dataset
-    for c in names:
-        df = df.filter(finite(c))
-    df = ranked_columns(df.select(*names, F.lit(0).alias(ALL)), names, [ALL], split_above)
-    ranks = [f"__r_{c}" for c in names]
-    n, means, cov = _moments(df, ranks)
-    index = {r: i for i, r in enumerate(ranks)}
-    given = [f"__r_{c}" for c in controls]
-    wanted = [*features, label]
-    left = df.select(ALL, *[F.round(residual(f"__r_{c}", given, means, cov, index), 9).alias(f"e_{c}") for c in wanted])
-    left = ranked_columns(left, [f"e_{c}" for c in wanted], [ALL], split_above)
-    pair = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.lit(label).alias("label"),
-            (F.col(f"p{i}") if n >= 10 else F.lit(None).cast("double")).alias("partial_spearman"),
-        )
-        for i, f in enumerate(features)
-    ]
-    facts = left.agg(
-        *[
-            _guarded(F.col(f"__r_e_{f}"), F.col(f"__r_e_{label}"), f"e_{f}", f"e_{label}").alias(f"p{i}")
-            for i, f in enumerate(features)
-        ]
-    )
-    return facts.select(F.inline(F.array(*pair)))
-
-
-def raw_versus_partial(dataset: DataFrame, features, label: str, controls, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    controls = list(controls)
+    sides = ["x", "y", *[f"c{i}" for i in range(len(controls))]]
+    ranked = _ranked(_pairs(dataset, (), [(f, label) for f in features], controls), PAIR, sides, wide)
+    ranked = cut_lineage(ranked)  # read for the moments and again for the residuals
+    ranks = {s: f"__r_{s}" for s in sides}
+    k = len(controls)
+    cov = lambda a, b: F.covar_pop(ranks[a], ranks[b])
+    moments = ranked.groupBy("feature").agg(
+        F.count("x").alias("n"), F.array(*[F.avg(ranks[s]) for s in sides]).alias("m"),
+        F.array(*[cov(a, b) for a in sides[2:] for b in sides]).alias("v"),
+    ).collect()
+    fits = {"x": {}, "y": {}}
+    for row in moments:
+        if row.n < 10:
+            continue
+        block = np.array(row.v, dtype=float).reshape(k, k + 2)
+        for i, side in enumerate(("x", "y")):
+            beta = np.linalg.lstsq(block[:, 2:], block[:, i], rcond=None)[0]
+            fits[side][row.feature] = (row.m[i], np.array(row.m[2:]), beta)
+    left = ranked.select(*PAIR, *[_residual(ranks[s], k, fits[s]).alias(s) for s in ("x", "y")])
+    left = _ranked(left, PAIR, ("x", "y"), wide)
+    out = left.groupBy(*PAIR).agg(_guarded(F.col("__r_x"), F.col("__r_y"), "x", "y").alias("partial_spearman"))
+    return out
+
+
+def raw_versus_partial(dataset: DataFrame, features, label: str, controls, wide: bool = True) -> DataFrame:
     """Raw and partial rank correlation and how much the controls take away."""
-    raw = feature_label_correlations(dataset, features, [label], split_above=split_above)
+    raw = feature_label_correlations(dataset, features, [label], wide=wide)
     both = raw.select("feature", "label", F.col("correlation").alias("raw_spearman")).join(
-        partial_spearman(dataset, features, label, controls, split_above), ["feature", "label"]
+        partial_spearman(dataset, features, label, controls, wide), ["feature", "label"]
     )
     return both.withColumn("abs_drop", F.abs("raw_spearman") - F.abs("partial_spearman"))
 

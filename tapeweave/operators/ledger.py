@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tapeweave.config import LedgerConfig, RewardConfig
-from tapeweave.functions.groups import is_wide, with_stats
+from tapeweave.functions.groups import with_stats
 from tapeweave.functions.sequential import stream_portfolios
 from tapeweave.operators.weights import CASH, KEYS, cap_to_cash, is_cash, keep_top_n, normalize, with_cash
 from tapeweave.sources.schema import finite
@@ -36,9 +36,8 @@ def unusable_targets(weights: DataFrame) -> DataFrame:
     )
 
 
-def constrained(weights: DataFrame, cfg: LedgerConfig, wide: bool | None = None) -> DataFrame:
+def constrained(weights: DataFrame, cfg: LedgerConfig, wide: bool = False) -> DataFrame:
     """Normalize, keep the top N, cap - in the order trades are executed."""
-    wide = is_wide(weights, KEYS, wide)
     out = normalize(with_cash(weights, wide=wide), wide=wide)
     if cfg.top_n is not None:
         out = keep_top_n(out, cfg.top_n, wide=wide)
@@ -48,7 +47,7 @@ def constrained(weights: DataFrame, cfg: LedgerConfig, wide: bool | None = None)
 
 
 def executed_weights(
-    targets: DataFrame, returns: DataFrame, cfg: LedgerConfig, checked: bool = False, wide: bool | None = None
+    targets: DataFrame, returns: DataFrame, cfg: LedgerConfig, checked: bool = False, wide: bool = False
 ) -> DataFrame:
     """Executable weights; an unusable target keeps the current (drifted) holdings.
 
@@ -100,14 +99,15 @@ def with_returns(weights: DataFrame, returns: DataFrame, strict: bool = True) ->
     return joined.withColumn("return", F.coalesce(value, missing.cast("double")))
 
 
-def with_worth(rows: DataFrame, wide: bool | None = None) -> DataFrame:
+def with_worth(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Add the cross-section's worth after its returns and the drifted weights."""
-    out = with_stats(rows, KEYS, wide, __worth=F.sum(F.col("weight") * (1 + F.col("return"))), __names=F.count(F.lit(1)))
-    share = F.try_divide(F.col("weight") * (1 + F.col("return")), F.col("__worth"))
+    grown = F.greatest(F.col("weight") * (1 + F.col("return")), F.lit(0.0))  # nothing is worth less than nothing
+    out = with_stats(rows, KEYS, wide, __worth=F.sum(grown), __names=F.count(F.lit(1)))
+    share = F.when(F.col("__worth") > 0, F.try_divide(grown, F.col("__worth")))
     return out.withColumn("drifted_weight", F.coalesce(share, F.col("weight")))
 
 
-def period_rows(rows: DataFrame, initial: str = "cash", wide: bool | None = None) -> DataFrame:
+def period_rows(rows: DataFrame, initial: str = "cash", wide: bool = False) -> DataFrame:
     """Gross return and turnover per portfolio and date.
 
     Turnover is the L1 distance between executed weights and what was carried into the date.
@@ -193,7 +193,7 @@ def ledger(
     cfg: LedgerConfig | None = None,
     benchmark: DataFrame | None = None,
     checked: bool = False,
-    wide: bool | None = None,
+    wide: bool = False,
     strict: bool = True,
 ) -> DataFrame:
     """One row per portfolio and decision date: gross, turnover, cost, net, value, peak, drawdown.
@@ -203,7 +203,6 @@ def ledger(
     without a return is an error, or with ``strict`` off earns nothing on that date.
     """
     cfg = cfg or LedgerConfig()
-    wide = is_wide(targets, KEYS, wide)
     rows = with_returns(executed_weights(targets, returns, cfg, checked, wide), returns, strict)
     periods = period_rows(rows, cfg.initial, wide)
     if cfg.average_dollar_volume is None:
@@ -213,7 +212,7 @@ def ledger(
         periods = with_liquidity_costs(periods, cfg)
     out = with_value(periods)
     if benchmark is not None:
-        out = out.join(F.broadcast(benchmark.select("decision_date", "benchmark_return")), "decision_date", "left")
+        out = out.join(benchmark.select("decision_date", "benchmark_return"), "decision_date", "left")
         out = out.withColumn("reward", reward_column(cfg.reward))
     return out
 

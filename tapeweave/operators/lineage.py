@@ -54,7 +54,7 @@ def run_metadata(tables, config, decision_dates: DataFrame) -> dict:
     """Provenance of a run: fingerprint, resolved configuration and an id derived from both."""
     span = decision_dates.agg(F.min("date").alias("start"), F.max("date").alias("end")).first()
     if span.start is None:
-        raise ValueError("Cannot build metadata for empty decision dates.")
+        raise ValueError("A run without decision dates has nothing to describe.")
     settings = asdict(config) if is_dataclass(config) else dict(config)
     settings["resolved_feature_columns"] = list(feature_set(settings["feature_set"]))
     text = json.dumps(settings, default=_plain, sort_keys=True)

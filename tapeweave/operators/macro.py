@@ -32,7 +32,7 @@ def indexed(macro: DataFrame) -> DataFrame:
     position = F.row_number().over(Window.orderBy("date"))
     dates = macro.select("date").distinct().withColumn("__at", position)
     values = macro.groupBy("date", "ticker").agg(F.first("value", ignorenulls=True).cast("double").alias("value"))
-    return values.join(F.broadcast(dates), "date")
+    return values.join(dates, "date")
 
 
 def macro_features_long(macro: DataFrame, window: int = 20) -> DataFrame:

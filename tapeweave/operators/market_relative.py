@@ -20,7 +20,7 @@ def with_benchmark(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("close").alias("__market"),
         (ratio(F.col("close"), F.lag("close").over(by_date)) - 1).alias("__market_return"),
     )
-    return enforce_ohlcv(bars).join(F.broadcast(market), "date", "left")
+    return enforce_ohlcv(bars).join(market, "date", "left")
 
 
 def market_relative_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:

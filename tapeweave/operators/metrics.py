@@ -122,7 +122,7 @@ STRESS_MULTIPLIERS = (0.5, 1.0, 2.0, 3.0)
 def stressed(periods: DataFrame, multipliers=STRESS_MULTIPLIERS) -> DataFrame:
     """Each period once per cost multiplier, net of the scaled cost."""
     if any(m < 0 or not math.isfinite(m) for m in multipliers):
-        raise ValueError("cost multipliers must be finite and non-negative.")
+        raise ValueError(f"Costs cannot be scaled by {list(multipliers)}.")
     m = F.col("multiplier")
     out = periods.withColumn("multiplier", F.explode(F.array(*[F.lit(float(x)) for x in multipliers])))
     return out.withColumn("net_return", F.col("net_return") + F.col("transaction_cost") * (1 - m)).withColumn(
@@ -169,7 +169,7 @@ def block_metrics(periods: DataFrame, periods_per_year: int, block: int) -> Data
 
 def release_gate(max_drawdown: float, min_information_ratio: float = 0.0) -> Column:
     if max_drawdown < 0:
-        raise ValueError("max_drawdown must be non-negative.")
+        raise ValueError("A drawdown limit is at least 0.")
     return (F.col("max_drawdown") <= max_drawdown) & (F.col("information_ratio") >= min_information_ratio)
 
 

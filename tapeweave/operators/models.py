@@ -52,12 +52,12 @@ def fit_regressor(rows: DataFrame, features, cfg: BoostedRegression, seed: int,
 def predict_scores(model: ScoreModel, rows: DataFrame, features=None) -> DataFrame:
     """Add ``score``. The feature list must be the fitted one; non-finite inputs fail the job."""
     if features is not None and tuple(features) != model.features:
-        raise ValueError("Prediction feature names do not match the fitted model.")
+        raise ValueError("The model was fitted on other features.")
     missing = [f for f in model.features if f not in rows.columns]
     if missing:
-        raise ValueError(f"Prediction rows lack features: {missing}")
+        raise ValueError(f"The rows to score have no {missing}.")
     checked = F.when(all_finite(model.features), F.lit(True)).otherwise(
-        F.raise_error(F.lit("Routed features must contain only finite values.")).cast("boolean")
+        F.raise_error(F.lit("A model feature is null, infinite or not a number.")).cast("boolean")
     )
     return model.pipeline.transform(rows.filter(checked)).drop("__x")
 
@@ -122,7 +122,7 @@ def split_scores(
         kept = purge_train_tail(train, horizon, on)
         data = kept.join(target.withColumnRenamed("decision_date", on), [on, "ticker"])
         if data.isEmpty():
-            raise ValueError("Training window has no complete forward-return labels.")
+            raise ValueError("No row of the train window has all of its forward returns.")
         model = fit_regressor(data, features, cfg, seed + i)
         test = predict_scores(model, one.filter(F.col("role") == "test"))
         part = test.select(F.lit(i).alias("split_index"), on, "ticker", "score")

@@ -7,21 +7,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeweave.config import PolicyConfig
-from tapeweave.functions.groups import is_wide, with_stats
+from tapeweave.functions.groups import with_stats
 from tapeweave.functions.sequential import stream_portfolios
 from tapeweave.operators.weights import CASH, KEYS, is_cash
-from tapeweave.session import cut_lineage
 
 FLAT, BUY, HOLD, SELL = "FLAT", "BUY", "HOLD", "SELL"
+BEFORE = "0001-01-01"  # sorts before every decision date
 PROBABILITIES = ("p_buy", "p_hold", "p_sell")
 
 
-def bad_probabilities(rows: DataFrame) -> DataFrame:
-    """Rows whose probabilities are missing or outside [0, 1]."""
+def _broken() -> Column:
     bad = F.lit(False)
     for p in PROBABILITIES:
         bad = bad | ~F.coalesce(F.col(p).between(0, 1) & ~F.isnan(p), F.lit(False))
-    return rows.filter(bad)
+    return bad
+
+
+def bad_probabilities(rows: DataFrame) -> DataFrame:
+    """Rows whose probabilities are missing or outside [0, 1]."""
+    return rows.filter(_broken())
+
+
+def checked_probabilities(rows: DataFrame) -> DataFrame:
+    """The same rows; reading one whose probabilities are missing or outside [0, 1] is an error."""
+    cells = [F.coalesce(F.col(p).cast("string"), F.lit("null")) for p in PROBABILITIES]
+    told = F.concat(F.lit("No probabilities for "), F.col("ticker"), F.lit(": "), F.concat_ws(", ", *cells))
+    stop = F.raise_error(told).cast("double")
+    return rows.withColumns({p: F.when(_broken(), stop).otherwise(F.col(p)) for p in PROBABILITIES})
+
+
+def checked_holdings(rows: DataFrame) -> DataFrame:
+    """The same rows; a weight that is missing, not finite or negative is an error."""
+    fine = F.coalesce((F.col("weight") >= 0) & (F.col("weight") < float("inf")) & ~F.isnan("weight"), F.lit(False))
+    told = F.concat(F.lit("No weight for "), F.col("ticker"), F.lit(": "), F.coalesce(F.col("weight").cast("string"), F.lit("null")))
+    return rows.withColumn("weight", F.when(fine, F.col("weight")).otherwise(F.raise_error(told).cast("double")))
 
 
 def action_column(cfg: PolicyConfig, weight: str = "weight") -> Column:
@@ -40,7 +59,9 @@ def decide(holdings: DataFrame, probabilities: DataFrame, cfg: PolicyConfig, key
     """Gate each asset by what is held. The cash row comes along without an action.
 
     Names without holdings start at weight 0; holdings without probabilities cannot trade.
+    Probabilities outside [0, 1] and weights below 0, missing or not finite are errors.
     """
+    probabilities, holdings = checked_probabilities(probabilities), checked_holdings(holdings)
     rows = probabilities if "tradable" in probabilities.columns else probabilities.withColumn("tradable", F.lit(True))
     rows = rows.withColumn("tradable", F.coalesce("tradable", F.lit(True)))
     both = rows.join(holdings.select(*keys, "ticker", "weight"), [*keys, "ticker"], "full")
@@ -48,15 +69,13 @@ def decide(holdings: DataFrame, probabilities: DataFrame, cfg: PolicyConfig, key
     return both.withColumn("action", F.when(~is_cash(), action_column(cfg)))
 
 
-def fund(decisions: DataFrame, cfg: PolicyConfig, keys=KEYS, wide: bool | None = None) -> DataFrame:
+def fund(decisions: DataFrame, cfg: PolicyConfig, keys=KEYS, wide: bool = False) -> DataFrame:
     """Sell, keep holds, then admit ranked buys while slots and cash last.
 
     Every entry costs the same weight, so the admitted buys are the first
     ``min(slots, cash / entry)`` by probability and ticker. Wide cross-sections rank only
     ``max_positions`` rows per group and map task.
     """
-    wide = is_wide(decisions, keys, wide)
-    decisions = cut_lineage(decisions) if wide else decisions
     sold, buy = F.col("action") == SELL, F.col("action") == BUY
     kept = ~is_cash() & ~sold & (F.col("weight") > cfg.holding_epsilon)
     books = with_stats(
@@ -88,26 +107,31 @@ def fund(decisions: DataFrame, cfg: PolicyConfig, keys=KEYS, wide: bool | None =
     )
 
 
-def replay(rows: DataFrame, cfg: PolicyConfig) -> DataFrame:
+def replay(rows: DataFrame, cfg: PolicyConfig, initial: DataFrame | None = None) -> DataFrame:
     """Run gate and funding along every portfolio's dates, holdings drifting in between.
 
     ``rows``: portfolio_id, decision_date, ticker, the three probabilities, tradable, return.
-    The start is all cash, so at most ``max_positions`` names are held, and whatever is bought
-    on a date is among its first ``2 x max_positions`` eligible buys. Only names that are on
-    such a list some day pass through the sequential step; all others are FLAT or unfunded
-    BUY on every date and are labelled in place.
+    ``initial`` (portfolio_id, ticker, weight) is the book before the first date, for a run that
+    goes on from another; a portfolio without one starts in cash, and what a book leaves of 1 is
+    cash. With h names at the start, at most max(h, ``max_positions``) are held, and what is
+    bought on a date is among its first ``max_positions`` eligible buys that are not held. Only
+    names on such a list some day, or in the book, pass through the sequential step; all others
+    are FLAT or unfunded BUY on every date and are labelled in place.
     """
-    rows = rows if "tradable" in rows.columns else rows.withColumn("tradable", F.lit(True))
+    rows = checked_probabilities(rows if "tradable" in rows.columns else rows.withColumn("tradable", F.lit(True)))
     wanted = F.coalesce("tradable", F.lit(True)) & (F.col("p_buy") >= cfg.buy_threshold)
     first = Window.partitionBy(*KEYS).orderBy(F.col("p_buy").desc(), F.col("ticker"))
-    names = (
-        rows.filter(wanted)
-        .withColumn("__rank", F.row_number().over(first))
-        .filter(F.col("__rank") <= 2 * cfg.max_positions)
-        .select("portfolio_id", "ticker")
-        .distinct()
-    )
-    fields = (*KEYS, "ticker", *PROBABILITIES, "tradable", "return")
+    ranked = rows.filter(wanted).withColumn("__rank", F.row_number().over(first))
+    if initial is None:
+        names = ranked.filter(F.col("__rank") <= 2 * cfg.max_positions).select("portfolio_id", "ticker").distinct()
+    else:
+        book = checked_holdings(initial.select("portfolio_id", "ticker", "weight")).filter(~is_cash() & (F.col("weight") > 0))
+        sizes = book.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("__held"))
+        most = cfg.max_positions + F.greatest(F.coalesce("__held", F.lit(0)), F.lit(cfg.max_positions))
+        listed = ranked.join(sizes, "portfolio_id", "left").filter(F.col("__rank") <= most)
+        names = listed.select("portfolio_id", "ticker").union(book.select("portfolio_id", "ticker")).distinct()
+    fields = (*KEYS, "ticker", *PROBABILITIES, "tradable", "return", "__start")
+    rows = rows.withColumn("__start", F.lit(None).cast("double"))
     needed = (
         rows.join(names, ["portfolio_id", "ticker"], "left_semi")
         .withColumn("tradable", F.coalesce("tradable", F.lit(True)))
@@ -116,10 +140,19 @@ def replay(rows: DataFrame, cfg: PolicyConfig) -> DataFrame:
     # one row per date without a name, so that every date is stepped even if no needed name trades
     never = [F.lit(0.0).alias(p) for p in PROBABILITIES]
     visits = rows.select(*KEYS).distinct().select(
-        *KEYS, F.lit("").alias("ticker"), *never, F.lit(False).alias("tradable"), F.lit(0.0).alias("return")
-    )
+        *KEYS, F.lit("").alias("ticker"), *never, F.lit(False).alias("tradable"), F.lit(0.0).alias("return"),
+        F.lit(None).cast("double").alias("__start"),
+    )
+    steps = needed.unionByName(visits)
+    if initial is not None:
+        steps = steps.unionByName(
+            book.select(
+                "portfolio_id", F.lit(BEFORE).cast("date").alias("decision_date"), "ticker", *never,
+                F.lit(False).alias("tradable"), F.lit(0.0).alias("return"), F.col("weight").alias("__start"),
+            )
+        )
     held = stream_portfolios(
-        needed.unionByName(visits),
+        steps,
         lambda: ({}, 1.0),
         lambda state, day: _step(state, day, cfg),
         "portfolio_id string, decision_date date, ticker string, action string, weight double",
@@ -136,6 +169,9 @@ def replay(rows: DataFrame, cfg: PolicyConfig) -> DataFrame:
 def _step(state, day: pd.DataFrame, cfg: PolicyConfig):
     """One date: state is ({ticker: drifted weight}, cash)."""
     weights, cash = state
+    if day["__start"].notna().any():
+        book = dict(zip(day.ticker, day["__start"]))
+        return (book, max(0.0, 1.0 - sum(book.values()))), day.head(0)
     by_name = day.set_index("ticker")
     action, target = {}, dict(weights)
     for name, w in weights.items():
@@ -169,7 +205,7 @@ def _step(state, day: pd.DataFrame, cfg: PolicyConfig):
     worth = {n: w * growth[n] for n, w in target.items()}
     total = sum(worth.values()) + cash
     if not np.isfinite(total) or total <= 0 or min(worth.values(), default=0.0) < 0:
-        raise ValueError("Execution returns produced an invalid portfolio state.")
+        raise ValueError(f"Returns of {day.decision_date.iloc[0]} leave a portfolio without positive worth.")
     return ({n: v / total for n, v in worth.items()}, cash / total), out
 
 

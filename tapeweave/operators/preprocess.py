@@ -97,13 +97,13 @@ def date_range(table: DataFrame):
     """First and last date (the fit window); empty tables are an error."""
     row = table.agg(F.min("date").alias("start"), F.max("date").alias("end")).first()
     if row.start is None:
-        raise ValueError("Cannot determine date range for empty feature bundle.")
+        raise ValueError("A table without rows has no first and last date.")
     return row
 
 
 def check_train_before_test(train: DataFrame, test: DataFrame) -> None:
     if date_range(train).end >= date_range(test).start:
-        raise ValueError("Train features must end before test features begin to avoid look-ahead.")
+        raise ValueError("The test table starts before the train table is over.")
 
 
 def preprocess_train_test(

@@ -13,7 +13,7 @@ def split_calendar(dates: DataFrame) -> DataFrame:
     """Decision, execution and next execution date from a calendar or a plain date list."""
     names = dates.columns
     if "decision_date" not in names and "date" not in names:
-        raise ValueError("Date DataFrame must contain 'date' or 'decision_date'.")
+        raise ValueError(f"No date column among {sorted(names)}.")
     source = "decision_date" if "decision_date" in names else "date"
     execution = "execution_date" if "decision_date" in names and "execution_date" in names else source
     out = dates.select(
@@ -80,7 +80,7 @@ def split_violations(splits: DataFrame) -> DataFrame:
 
 def check_splits(splits: DataFrame) -> DataFrame:
     if not split_violations(splits).isEmpty():
-        raise ValueError("Train window must end before test window starts.")
+        raise ValueError("A split tests on days that it also trains on.")
     return splits
 
 

@@ -1,16 +1,15 @@
 """Scores to long-only weights, in long form with cash as the row ``CASH``.
 
 A cross-section is addressed by its keys (portfolio and date). Steps chain as windows over one
-shuffle by those keys as long as a cross-section fits a task. ``wide`` says whether it does not
-(None: count first); wide cross-sections use combining aggregates joined back by key.
+shuffle by those keys. ``wide`` is the caller's word that a cross-section may not fit a task (see
+``functions.groups``); such ones use combining aggregates joined back by key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeweave.functions.groups import SPLIT_ABOVE, is_wide, value_prefix, with_group_row, with_stats
-from tapeweave.session import cut_lineage
+from tapeweave.functions.groups import value_prefix, with_group_row, with_stats
 from tapeweave.sources.schema import finite
 
 CASH = "CASH"
@@ -21,7 +20,7 @@ def is_cash() -> Column:
     return F.col("ticker") == CASH
 
 
-def with_cash(weights: DataFrame, keys=KEYS, cash: Column | float = 0.0, wide: bool | None = None) -> DataFrame:
+def with_cash(weights: DataFrame, keys=KEYS, cash: Column | float = 0.0, wide: bool = False) -> DataFrame:
     """Add a cash row to every cross-section that has none."""
     value = cash if isinstance(cash, Column) else F.lit(float(cash))
     fields = {"ticker": F.lit(CASH), "weight": value}
@@ -37,7 +36,7 @@ def _add_cash(stocks: DataFrame, keys, wide) -> DataFrame:
 
 def softmax_weights(
     scores: DataFrame, temperature: float = 0.01, clip: float = 20.0, keys=KEYS, score: str = "score",
-    tradable: str | None = None, wide: bool | None = None,
+    tradable: str | None = None, wide: bool = False,
 ) -> DataFrame:
     """Softmax of clipped scores and a zero cash row; with nothing tradable, all cash.
 
@@ -46,7 +45,6 @@ def softmax_weights(
     """
     if temperature <= 0 or not 0 < clip <= 300:
         raise ValueError("temperature must be positive and clip in (0, 300].")
-    wide = is_wide(scores, keys, wide)
     logit = F.greatest(F.least(F.col(score) / temperature, F.lit(float(clip))), F.lit(-float(clip)))
     usable = F.coalesce(F.col(tradable), F.lit(False)) if tradable else F.lit(True)
     raw = scores.withColumn("__mass", F.when(usable, F.exp(logit - clip)).otherwise(0.0))
@@ -56,18 +54,15 @@ def softmax_weights(
 
 
 def sparsemax_weights(
-    scores: DataFrame, keys=KEYS, score: str = "score", tradable: str | None = None, wide: bool | None = None,
-    split_above: int = SPLIT_ABOVE,
+    scores: DataFrame, keys=KEYS, score: str = "score", tradable: str | None = None, wide: bool = False,
 ) -> DataFrame:
     """Euclidean projection of scores on the simplex (exact zeros) and a cash row."""
-    wide = is_wide(scores, keys, wide, split_above)
     usable = F.coalesce(F.col(tradable), F.lit(False)) if tradable else F.lit(True)
     flagged = scores.withColumn("__use", usable)
-    flagged = cut_lineage(flagged) if wide else flagged
     z = F.when(F.col("__use"), F.col(score))
     flagged = with_stats(flagged, keys, wide, __peak=F.max(z)).withColumn("__z", z - F.col("__peak"))
     if wide:
-        out = flagged.join(_support_threshold(flagged, keys, split_above), list(keys), "left")
+        out = flagged.join(_support_threshold(flagged, keys), list(keys), "left")
     else:
         falling = Window.partitionBy(*keys).orderBy(F.col("__z").desc_nulls_last(), "ticker")
         so_far = falling.rowsBetween(Window.unboundedPreceding, 0)
@@ -84,7 +79,7 @@ def sparsemax_weights(
     return _add_cash(stocks, keys, wide)
 
 
-def _support_threshold(flagged: DataFrame, keys, split_above: int) -> DataFrame:
+def _support_threshold(flagged: DataFrame, keys) -> DataFrame:
     """Simplex threshold of wide cross-sections.
 
     Equal scores are collapsed: they enter the support together, so counts and totals over
@@ -92,12 +87,12 @@ def _support_threshold(flagged: DataFrame, keys, split_above: int) -> DataFrame:
     """
     near = flagged.filter(F.col("__use") & (F.col("__z") > -1)).groupBy(*keys, "__z").agg(F.count(F.lit(1)).alias("__n"))
     near = near.withColumn("__total", F.col("__z") * F.col("__n"))
-    ordered = value_prefix(near, keys, "__z", ("__n", "__total"), ascending=False, split_above=split_above)
+    ordered = value_prefix(near, keys, "__z", ("__n", "__total"), ascending=False)
     inside = ordered.filter(1 + F.col("__n_before") * F.col("__z") > F.col("__total_before"))
     return inside.groupBy(*keys).agg(((F.sum("__total") - 1) / F.sum("__n")).alias("__tau"))
 
 
-def normalize(weights: DataFrame, keys=KEYS, fallback: str | None = None, wide: bool | None = None) -> DataFrame:
+def normalize(weights: DataFrame, keys=KEYS, fallback: str | None = None, wide: bool = False) -> DataFrame:
     """Long-only weights summing to one; an unusable cross-section takes ``fallback`` or all cash.
 
     A cross-section is unusable when any weight is not finite or nothing positive is left.
@@ -111,7 +106,7 @@ def normalize(weights: DataFrame, keys=KEYS, fallback: str | None = None, wide:
     return out.withColumn("weight", value).drop("__ok", "__w", "__all", "__sum")
 
 
-def keep_top_n(weights: DataFrame, n: int, keys=KEYS, wide: bool | None = None) -> DataFrame:
+def keep_top_n(weights: DataFrame, n: int, keys=KEYS, wide: bool = False) -> DataFrame:
     """Keep the ``n`` largest risky weights (ties by ticker) and cash; the rest become 0.
 
     In a wide cross-section Spark keeps n rows per group and map task for the cut-off, and the
@@ -119,13 +114,11 @@ def keep_top_n(weights: DataFrame, n: int, keys=KEYS, wide: bool | None = None)
     """
     if n <= 0:
         raise ValueError("top_n must be positive.")
-    wide = is_wide(weights, keys, wide)
     if not wide:
         by_size = Window.partitionBy(*keys).orderBy(is_cash(), F.col("weight").desc(), F.col("ticker"))
         out = weights.withColumn("__rank", F.row_number().over(by_size))
         kept = is_cash() | (F.col("__rank") <= n)
     else:
-        weights = cut_lineage(weights)
         by_size = Window.partitionBy(*keys).orderBy(F.col("weight").desc(), F.col("ticker"))
         last_kept = (
             weights.filter(~is_cash())
@@ -141,10 +134,9 @@ def keep_top_n(weights: DataFrame, n: int, keys=KEYS, wide: bool | None = None)
     return normalize(sparse, keys, wide=wide)
 
 
-def cap_to_cash(weights: DataFrame, cap: float, keys=KEYS, wide: bool | None = None) -> DataFrame:
+def cap_to_cash(weights: DataFrame, cap: float, keys=KEYS, wide: bool = False) -> DataFrame:
     """Cap risky weights and send what is left over to cash."""
     _check_cap(cap)
-    wide = is_wide(weights, keys, wide)
     capped = weights.withColumn("weight", F.when(is_cash(), F.col("weight")).otherwise(F.least("weight", F.lit(cap))))
     out = with_stats(capped, keys, wide, __sum=F.sum("weight"))
     rest = F.greatest(1 - F.col("__sum"), F.lit(0.0))
@@ -152,7 +144,7 @@ def cap_to_cash(weights: DataFrame, cap: float, keys=KEYS, wide: bool | None = N
     return normalize(out.withColumn("weight", moved).drop("__sum"), keys, wide=wide)
 
 
-def cap_and_redistribute(weights: DataFrame, cap: float, keys=KEYS, wide: bool | None = None) -> DataFrame:
+def cap_and_redistribute(weights: DataFrame, cap: float, keys=KEYS, wide: bool = False) -> DataFrame:
     """Cap risky weights and share the excess evenly, once, among names still below the cap.
 
     Without such a name the excess goes to cash. The single pass can lift a name over the cap.
@@ -174,7 +166,7 @@ def _check_cap(cap: float) -> None:
         raise ValueError("cap must be in (0, 1].")
 
 
-def blend(current: DataFrame, target: DataFrame, alpha: float, keys=KEYS, wide: bool | None = None) -> DataFrame:
+def blend(current: DataFrame, target: DataFrame, alpha: float, keys=KEYS, wide: bool = False) -> DataFrame:
     """(1 - alpha) x current + alpha x target, renormalized."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be in [0, 1].")
@@ -189,13 +181,12 @@ def blend(current: DataFrame, target: DataFrame, alpha: float, keys=KEYS, wide:
 POLICIES = ("equal_weight", "equal_weight_cash", "cash")
 
 
-def policy_portfolios(rows: DataFrame, policies=POLICIES, wide: bool | None = None) -> DataFrame:
+def policy_portfolios(rows: DataFrame, policies=POLICIES, wide: bool = False) -> DataFrame:
     """Rule weights for every listed (date, ticker) and a cash row, one portfolio per policy."""
     unknown = [p for p in policies if p not in POLICIES]
     if unknown:
-        raise ValueError(f"Unknown benchmark policy: {unknown[0]}")
+        raise ValueError(f"No rule portfolio is called {unknown[0]!r}.")
     keys = ["decision_date"]
-    wide = is_wide(rows, keys, wide)
     plain = rows.select(*keys, "ticker")
     named = with_group_row(plain, keys, wide, "ticker", {"ticker": F.lit(CASH)})
     counted = with_stats(named, keys, wide, __n=F.count(F.lit(1)))
@@ -209,14 +200,14 @@ def policy_portfolios(rows: DataFrame, policies=POLICIES, wide: bool | None = No
     return counted.select(*keys, "ticker", F.inline(F.array(*entries))).select(*KEYS, "ticker", "weight")
 
 
-def benchmark_weights(rows: DataFrame, policy: str, wide: bool | None = None) -> DataFrame:
+def benchmark_weights(rows: DataFrame, policy: str, wide: bool = False) -> DataFrame:
     return policy_portfolios(rows, (policy,), wide).drop("portfolio_id")
 
 
 def liquidity_cost(participation: str | Column, spread_bps: str | Column, impact_bps: float = 10.0) -> Column:
     """Spread plus square-root impact, as a decimal."""
     if impact_bps < 0:
-        raise ValueError("impact_bps must be non-negative.")
+        raise ValueError("An impact cannot pay: impact_bps is below 0.")
     p = F.col(participation) if isinstance(participation, str) else participation
     s = F.col(spread_bps) if isinstance(spread_bps, str) else spread_bps
     return s / 10_000.0 + impact_bps / 10_000.0 * F.sqrt(p)

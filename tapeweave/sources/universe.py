@@ -42,12 +42,12 @@ def select_universe(
 def validate_universe(symbols: DataFrame, expected_count: int | None = None, column: str = "ticker") -> DataFrame:
     out = symbols.select(normalized(column).alias("ticker"))
     if not out.filter(F.coalesce("ticker", F.lit("")) == "").isEmpty():
-        raise ValueError("Ticker symbols must be non-empty.")
+        raise ValueError("A universe cannot list a blank symbol.")
     repeated = [r.ticker for r in duplicate_symbols(out).orderBy("ticker").limit(20).collect()]
     if repeated:
-        raise ValueError(f"Duplicate tickers are not allowed: {repeated}")
+        raise ValueError(f"Listed more than once: {repeated}.")
     if expected_count is not None and (n := out.count()) != expected_count:
-        raise ValueError(f"Expected {expected_count} stock tickers, received {n}.")
+        raise ValueError(f"The universe has {n} names instead of {expected_count}.")
     return out
 
 
@@ -65,7 +65,7 @@ class UniverseConfig:
     def selected(self) -> tuple[str, ...]:
         names = [t.strip().upper() for t in self.tickers]
         if "" in names:
-            raise ValueError("Ticker symbols must be non-empty.")
+            raise ValueError("A universe cannot list a blank symbol.")
         return tuple(dict.fromkeys(names))[: self.max_stocks]
 
     @property

@@ -31,11 +31,11 @@ def validate_bars(bars: DataFrame, expected: DataFrame | None = None) -> DataFra
     bars = enforce_ohlcv(bars)
     nulls = {r.column_name: r.nulls for r in null_counts(bars).collect()}
     if nulls:
-        raise ValueError(f"OHLCV data contains nulls: {nulls}")
+        raise ValueError(f"Null cells per column: {nulls}.")
     if expected is not None:
         missing = [r.ticker for r in missing_tickers(bars, expected).orderBy("ticker").limit(20).collect()]
         if missing:
-            raise ValueError(f"Missing expected tickers: {missing}")
+            raise ValueError(f"No bars for {missing}.")
     if not duplicate_bars(bars).isEmpty():
-        raise ValueError("OHLCV data contains duplicate ticker/date rows.")
+        raise ValueError("A ticker has more than one bar on a day.")
     return bars

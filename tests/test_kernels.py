@@ -35,7 +35,7 @@ def crowded(spark):
 
 def test_wide_ranks_equal_window_ranks(crowded):
     plain = with_average_rank(crowded, ["date"], "v", "r").toPandas()
-    split = with_average_rank(crowded, ["date"], "v", "r", split_above=20).toPandas()
+    split = with_average_rank(crowded, ["date"], "v", "r", wide=True).toPandas()
     key = ["date", "ticker"]
     a, b = plain.sort_values(key).reset_index(drop=True), split.sort_values(key).reset_index(drop=True)
     np.testing.assert_allclose(a.r, b.r)
@@ -43,11 +43,29 @@ def test_wide_ranks_equal_window_ranks(crowded):
     np.testing.assert_allclose(a.r, expected)
 
 
-def test_value_prefix_is_the_same_when_groups_are_cut(crowded):
-    values = crowded.filter("v IS NOT NULL").groupBy("date", "v").agg(F.count(F.lit(1)).alias("n"))
-    a = value_prefix(values, ["date"], "v", ("n",)).orderBy("date", "v").toPandas()
-    b = value_prefix(values, ["date"], "v", ("n",), split_above=10).orderBy("date", "v").toPandas()
-    assert a.n_before.tolist() == b.n_before.tolist()
+@pytest.mark.parametrize("ascending", [True, False])
+def test_value_prefix_is_a_plain_running_total(spark, ascending):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([[0.0, 1e-300, -1e-300, 5e-324, np.inf, -np.inf, 1e308], rng.normal(100, 1e-6, 300), rng.normal(0, 1e9, 300)])
+    rows = pd.DataFrame({"g": np.arange(len(x)) % 3, "v": x, "n": rng.integers(1, 9, len(x))}).drop_duplicates(["g", "v"])
+    got = value_prefix(spark.createDataFrame(rows), ["g"], "v", ("n",), ascending).toPandas()
+    want = rows.sort_values("v", ascending=ascending)
+    want["n_before"] = want.groupby("g").n.cumsum() - want.n
+    key = ["g", "v"]
+    assert got.sort_values(key).n_before.tolist() == want.sort_values(key).n_before.tolist()
+
+
+def test_ranks_with_a_hot_value_an_empty_group_and_a_skewed_date(spark):
+    rows = [("hot", 7.0)] * 3000 + [("hot", float(i % 977)) for i in range(2000)] + [("none", None)] * 50
+    rows += [("thin", float(-i)) for i in range(20)] + [("hot", None), ("thin", float("nan"))]
+    df = spark.createDataFrame(rows, "date string, v double").repartition(5)
+    for up in (True, False):
+        kept = df.filter("v IS NULL OR NOT isnan(v)")
+        got = with_average_rank(kept, ["date"], "v", "r", up, wide=True).toPandas()
+        np.testing.assert_allclose(got.r, got.groupby("date").v.rank(method="average", ascending=up))
+        plain = with_average_rank(df, ["date"], "v", "r", up).groupBy("date", "v", "r").count()
+        wide = with_average_rank(df, ["date"], "v", "r", up, wide=True).groupBy("date", "v", "r").count()
+        assert plain.exceptAll(wide).isEmpty() and wide.exceptAll(plain).isEmpty()
 
 
 def test_wide_paths_of_weights_equal_window_paths(spark, crowded):
