@@ -1,6 +1,6 @@
 """Registered queries and the DuckDB statement each must agree with."""
 
 from gate.base import ORACLE, QUERIES
-from gate import features, learning, market, portfolio, research, transform
+from gate import artifacts, features, learning, market, portfolio, research, transform
 
-__all__ = ["ORACLE", "QUERIES", "features", "learning", "market", "portfolio", "research", "transform"]
+__all__ = ["ORACLE", "QUERIES", "artifacts", "features", "learning", "market", "portfolio", "research", "transform"]

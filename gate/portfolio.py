@@ -318,9 +318,14 @@ add(
     "e9_fallback_to_holdings",
     lambda s, sf: ledger.executed_weights(targets(s, sf), returns(s, sf), LedgerConfig()).select("portfolio_id", "decision_date", "ticker", sig("weight")),
 )
+LIQUID_COST = "turnover * (0.001 + (5e0 + 2e1 * sqrt(greatest(turnover * val / 5e6, 0))) / 1e4)"
+LIQUID = f"""st_ AS (SELECT p, decision_date, gross, turnover, row_number() OVER (PARTITION BY p ORDER BY decision_date) AS i FROM pe),
+liq AS (SELECT DISTINCT p, NULL::DATE AS decision_date, 0::BIGINT AS i, 0e0 AS cost, 1e0 AS val FROM st_
+  UNION ALL SELECT s.p, s.decision_date, s.i, {LIQUID_COST}, val * (1 + gross - {LIQUID_COST}) FROM liq JOIN st_ s ON s.p = liq.p AND s.i = liq.i + 1)"""
 add(
     "e4_liquidity_ledger",
     lambda s, sf: book(s, sf, LedgerConfig(cost_rate=0.001, average_dollar_volume=5e6, spread_bps=5.0, impact_bps=20.0)).select("portfolio_id", "decision_date", *sigs("transaction_cost", "portfolio_value")),
+    with_sql(*BASE, PW, LEDGER, LIQUID, recursive=True) + f"\nSELECT p AS portfolio_id, decision_date, {sig_sql('cost', 'transaction_cost')}, {sig_sql('val', 'portfolio_value')} FROM liq WHERE i > 0",
 )
 
 
