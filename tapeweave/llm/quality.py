@@ -44,7 +44,7 @@ class Training:
     rows: int = 4000
     max_chars: int = 20_000
     dim: int = 16
-    epochs: int = 8
+    steps: int = 32_000
     rate: float = 0.5
     seed: int = 7
 
@@ -120,11 +120,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], how: Training) -> Mode
     rng = np.random.default_rng(how.seed)
     vectors = rng.uniform(-1 / how.dim, 1 / how.dim, (BUCKETS, how.dim))
     out, bias = np.zeros((how.dim, 2)), np.zeros(2)
-    steps, done = max(1, how.epochs * len(bags)), 0
-    for _ in range(how.epochs):
-        for i in rng.permutation(len(bags)):
+    done = 0
+    while bags and done < how.steps:
+        for i in rng.permutation(len(bags))[: how.steps - done]:
             at, times, label = bags[i]
-            rate = how.rate * (1 - done / steps)
+            rate = how.rate * (1 - done / how.steps)
             done += 1
             weight = times / (times.sum() + BLANK)
             hidden = weight @ vectors[at]

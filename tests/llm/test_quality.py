@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.llm import quality
 
-HOW = quality.Training(rows=300, epochs=6)
+HOW = quality.Training(rows=300, steps=4000)
 
 
 def corpus(n, seed=1):
