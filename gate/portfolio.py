@@ -314,10 +314,34 @@ add(
     lambda s, sf: ledger.ledger(usable_targets(s, sf), returns(s, sf), E9).select("portfolio_id", "decision_date", *sigs("turnover", "net_return", "portfolio_value", "drawdown")),
     with_sql(*E9_CTES) + f"\nSELECT p AS portfolio_id, decision_date, {sig_sql('turnover')}, {sig_sql('net', 'net_return')}, {sig_sql('val', 'portfolio_value')}, {sig_sql('dd', 'drawdown')} FROM lg",
 )
-add(
-    "e9_fallback_to_holdings",
-    lambda s, sf: ledger.executed_weights(targets(s, sf), returns(s, sf), LedgerConfig()).select("portfolio_id", "decision_date", "ticker", sig("weight")),
-)
+def _fallback_sql(rule: str) -> list[str]:
+    """The targets' dates one after the other; ``rule`` turns the weights ``q`` of a date into the executed ones."""
+    return [
+        """fd AS (SELECT decision_date, row_number() OVER (ORDER BY decision_date) AS i, count(w) = count(*) AND sum(greatest(w, 0)) > 0 AS ok FROM targets GROUP BY 1),
+ft AS (SELECT i, ok, t.decision_date, t.ticker, t.w AS t, coalesce(r.ret, 0) AS r FROM targets t JOIN fd USING (decision_date)
+  LEFT JOIN returns r ON r.decision_date = t.decision_date AND r.ticker = t.ticker)""",
+        f"""fb AS (SELECT 0::BIGINT AS i, NULL::DATE AS decision_date, 'CASH' AS ticker, 1e0 AS w, 0e0 AS r UNION ALL SELECT * FROM (
+  WITH m AS (SELECT ft.i, ft.decision_date, ft.ticker, ft.r, CASE WHEN ok THEN greatest(t, 0) ELSE greatest(coalesce(p.w * (1 + p.r), 0), 0) END AS m
+    FROM ft JOIN (SELECT DISTINCT i + 1 AS i FROM fb) s ON s.i = ft.i LEFT JOIN fb p ON p.ticker = ft.ticker),
+  q AS (SELECT *, CASE WHEN sum(m) OVER () > 0 THEN m / sum(m) OVER () WHEN ticker = 'CASH' THEN 1 ELSE 0 END AS q FROM m),
+  {rule}))""",
+    ]
+
+
+FALLBACK = _fallback_sql("z AS (SELECT *, q AS w FROM q) SELECT i, decision_date, ticker, w, r FROM z")
+FALLBACK_E9 = _fallback_sql(
+    """top6 AS (SELECT * REPLACE (CASE WHEN ticker = 'CASH' OR row_number() OVER (PARTITION BY ticker = 'CASH' ORDER BY q DESC, ticker) <= 6 THEN q ELSE 0 END AS q) FROM q),
+  full6 AS (SELECT * REPLACE (CASE WHEN sum(q) OVER () > 0 THEN q / sum(q) OVER () WHEN ticker = 'CASH' THEN 1 ELSE 0 END AS q) FROM top6),
+  low AS (SELECT * REPLACE (CASE WHEN ticker = 'CASH' THEN q ELSE least(q, 0.15) END AS q) FROM full6),
+  z AS (SELECT *, q + CASE WHEN ticker = 'CASH' THEN greatest(1 - sum(q) OVER (), 0) ELSE 0 END AS w FROM low)
+  SELECT i, decision_date, ticker, w / sum(w) OVER () AS w, r FROM z"""
+)
+for name, cfg, ctes in (("e9_fallback_to_holdings", LedgerConfig(), FALLBACK), ("e9_fallback_capped", E9, FALLBACK_E9)):
+    add(
+        name,
+        lambda s, sf, c=cfg: ledger.executed_weights(targets(s, sf), returns(s, sf), c).select("portfolio_id", "decision_date", "ticker", sig("weight")),
+        with_sql(*BASE, TARGETS, *ctes, recursive=True) + f"\nSELECT 'raw' AS portfolio_id, decision_date, ticker, {sig_sql('w', 'weight')} FROM fb WHERE i > 0",
+    )
 LIQUID_COST = "turnover * (0.001 + (5e0 + 2e1 * sqrt(greatest(turnover * val / 5e6, 0))) / 1e4)"
 LIQUID = f"""st_ AS (SELECT p, decision_date, gross, turnover, row_number() OVER (PARTITION BY p ORDER BY decision_date) AS i FROM pe),
 liq AS (SELECT DISTINCT p, NULL::DATE AS decision_date, 0::BIGINT AS i, 0e0 AS cost, 1e0 AS val FROM st_

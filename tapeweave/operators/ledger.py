@@ -2,8 +2,8 @@
 
 What is executed depends only on the targets, and drift only on the row before, so the whole
 history is a set of joins and aggregates; value and peak are windows over one row per
-portfolio and date. Two things are truly path-dependent and stream per portfolio: targets
-that fall back to current holdings, and costs that depend on the portfolio's value.
+portfolio and date. Two things are truly path-dependent and stream: capped holdings over dates
+without usable targets, and costs that depend on the portfolio's value.
 """
 
 from __future__ import annotations
@@ -25,17 +25,6 @@ def by_portfolio() -> WindowSpec:
     return Window.partitionBy("portfolio_id").orderBy("decision_date")
 
 
-def unusable_targets(weights: DataFrame) -> DataFrame:
-    """Cross-sections with a non-finite weight or without positive weight."""
-    ok = F.coalesce(finite("weight"), F.lit(False))
-    return (
-        weights.groupBy(*KEYS)
-        .agg(F.min(ok).alias("ok"), F.sum(F.when(ok, F.greatest("weight", F.lit(0.0))).otherwise(0.0)).alias("mass"))
-        .filter(~F.col("ok") | (F.col("mass") <= 0))
-        .select(*KEYS)
-    )
-
-
 def constrained(weights: DataFrame, cfg: LedgerConfig, wide: bool = False) -> DataFrame:
     """Normalize, keep the top N, cap - in the order trades are executed."""
     out = normalize(with_cash(weights, wide=wide), wide=wide)
@@ -46,47 +35,78 @@ def constrained(weights: DataFrame, cfg: LedgerConfig, wide: bool = False) -> Da
     return out
 
 
+def stretches(rows: DataFrame) -> DataFrame:
+    """Per portfolio and date: whether its targets are usable, and the stretch that it belongs to.
+
+    A stretch opens (``__since``) on a usable date, or on the portfolio's first one, and lasts until
+    the next opens; ``__place`` counts its dates from 1 to ``__length``. Targets are unusable with
+    a weight that is not finite or without positive weight.
+    """
+    ok = F.coalesce(finite("weight"), F.lit(False))
+    mass = F.sum(F.when(ok, F.greatest("weight", F.lit(0.0))).otherwise(0.0))
+    dates = rows.groupBy(*KEYS).agg((F.min(ok) & (mass > 0)).alias("__usable"), F.count(F.lit(1)).alias("__names"))
+    opens = F.col("__usable") | (F.row_number().over(by_portfolio()) == 1)
+    dates = dates.withColumn("__opens", F.when(opens, F.col("decision_date")))
+    dates = dates.withColumn("__since", F.max("__opens").over(by_portfolio())).drop("__opens")
+    stretch = Window.partitionBy("portfolio_id", "__since")
+    return dates.withColumns(
+        {"__place": F.row_number().over(stretch.orderBy("decision_date")), "__length": F.count(F.lit(1)).over(stretch)}
+    )
+
+
 def executed_weights(
     targets: DataFrame, returns: DataFrame, cfg: LedgerConfig, checked: bool = False, wide: bool = False
 ) -> DataFrame:
     """Executable weights; an unusable target keeps the current (drifted) holdings.
 
-    Portfolios with an unusable target anywhere stream through the sequential rule; the others
-    never leave the declarative path. ``checked`` skips the scan for such targets when the
-    caller built the weights itself.
+    Holdings on an unusable date depend on the last usable one alone: its executed weights, each
+    grown by its returns since, as shares of their sum. A name that is not listed on a date in
+    between is gone, and holdings that lost everything become cash. So stretches of dates are
+    windows by name. Only a cap couples the names of a stretch; with one, stretches longer than a
+    date are streamed, each on its own. ``checked`` skips all this when the caller built the
+    weights itself.
     """
     if checked:
         return constrained(targets, cfg, wide)
-    bad = unusable_targets(targets).select("portfolio_id").distinct()
-    if bad.isEmpty():
-        return constrained(targets, cfg, wide)
-    clean = constrained(targets.join(bad, "portfolio_id", "left_anti"), cfg)
-    rows = with_returns(with_cash(targets.join(bad, "portfolio_id", "left_semi")), returns, strict=False)
-    replayed = stream_portfolios(rows, lambda: None, lambda s, d: _fallback_step(s, d, cfg), WEIGHT_SCHEMA)
-    return clean.unionByName(replayed)
-
-
-def _fallback_step(state, day: pd.DataFrame, cfg: LedgerConfig):
-    day = day.reset_index(drop=True)
-    cash = (day.ticker == CASH).to_numpy()
-    raw = day.weight.to_numpy(dtype=float)
-    if state is None:
-        state = {CASH: 1.0} if cfg.initial == "cash" else {t: 1.0 / len(day) for t in day.ticker}
-    ok = np.isfinite(raw).all() and np.maximum(raw, 0).sum() > 0
-    w = np.maximum(raw, 0) if ok else day.ticker.map(state).fillna(0.0).to_numpy()
-    w = w / w.sum() if w.sum() > 0 else cash.astype(float)
-    if cfg.top_n is not None:
-        order = np.lexsort((day.ticker.to_numpy(), -w))
-        kept = [i for i in order if not cash[i]][: cfg.top_n]
-        w = np.where(cash | np.isin(np.arange(len(w)), kept), w, 0.0)
-        w = w / w.sum() if w.sum() > 0 else cash.astype(float)
-    if cfg.max_position_weight is not None:
-        w = np.where(cash, w, np.minimum(w, cfg.max_position_weight))
-        w = w + cash * max(1.0 - w.sum(), 0.0)
-        w = w / w.sum()
-    worth = w * (1.0 + np.nan_to_num(day["return"].to_numpy(dtype=float)))
-    drifted = worth / worth.sum() if worth.sum() > 0 else w
-    return dict(zip(day.ticker, drifted)), day[["portfolio_id", "decision_date", "ticker"]].assign(weight=w)
+    rows = with_cash(targets, wide=wide)
+    dates = stretches(rows)
+    placed = rows.join(dates, list(KEYS))
+    held = F.when(is_cash(), 1.0).otherwise(0.0) if cfg.initial == "cash" else 1.0 / F.col("__names")
+    opening = placed.filter("__place = 1").withColumn("weight", F.when(F.col("__usable"), F.col("weight")).otherwise(held))
+    executed = constrained(opening, cfg, wide).select(*KEYS, "ticker", "weight")
+    columns = (*KEYS, "ticker", "weight", "__since", "__place")
+    path = executed.join(dates.filter("__place = 1 AND __length > 1"), list(KEYS)).select(*columns)
+    path = path.unionByName(placed.filter("__place > 1").select(*columns))
+    path = path.join(returns.select("decision_date", "ticker", "return"), ["decision_date", "ticker"], "left")
+    earned = F.when(F.coalesce(finite("return"), F.lit(False)), F.col("return")).otherwise(0.0)
+    path = path.withColumn("__growth", F.greatest(1 + earned, F.lit(0.0)))
+    carried = _carried(path, wide) if cfg.max_position_weight is None else _carried_capped(path, cfg.max_position_weight)
+    return executed.unionByName(carried.select(*KEYS, "ticker", "weight"))
+
+
+def _carried(path: DataFrame, wide: bool) -> DataFrame:
+    name = Window.partitionBy("portfolio_id", "__since", "ticker").orderBy("decision_date")
+    before = name.rowsBetween(Window.unboundedPreceding, -1)
+    listed = F.row_number().over(name) == F.col("__place")  # on every date of the stretch so far
+    grown = F.first("weight").over(name.rowsBetween(Window.unboundedPreceding, 0)) * F.product("__growth").over(before)
+    later = path.withColumn("weight", F.when(listed, grown).otherwise(0.0)).filter("__place > 1")
+    return normalize(later.select(*KEYS, "ticker", "weight"), wide=wide)
+
+
+def _carried_capped(path: DataFrame, cap: float) -> DataFrame:
+    def step(held, day: pd.DataFrame):
+        cash, opens = (day.ticker == CASH).to_numpy(), day["__place"].iloc[0] == 1
+        w = (day.weight if opens else day.ticker.map(held).fillna(0.0)).to_numpy(dtype=float)
+        if not opens:
+            w = w / w.sum() if w.sum() > 0 else cash.astype(float)
+            w = np.where(cash, w, np.minimum(w, cap))
+            w = w + cash * max(1.0 - w.sum(), 0.0)
+            w = w / w.sum()
+        held = pd.Series(w * day["__growth"].to_numpy(), index=day.ticker.to_numpy())
+        return held, day[[*KEYS, "ticker"]].assign(weight=w).iloc[: 0 if opens else None]
+
+    stretch = F.concat_ws(" ", F.col("__since").cast("string"), F.col("portfolio_id")).alias("__stretch")
+    return stream_portfolios(path.select(stretch, "*"), lambda: None, step, WEIGHT_SCHEMA, portfolio="__stretch")
 
 
 def with_returns(weights: DataFrame, returns: DataFrame, strict: bool = True) -> DataFrame:
