@@ -201,7 +201,28 @@ def replayed(s, sf):
     return policy.replay(shifted, GATE)
 
 
-add("k13_policy_replay", lambda s, sf: replayed(s, sf).select("portfolio_id", "decision_date", "ticker", "action", sig("weight")))
+GATED = """gd AS (SELECT decision_date, row_number() OVER (ORDER BY decision_date) AS i FROM (SELECT DISTINCT decision_date FROM probs)),
+gk AS (SELECT unnest(range(4)) AS k),
+gp AS (SELECT 'shift_' || k AS p, i, pb.ticker, greatest(p_buy - k * 0.05, 0) AS p_buy, p_hold, p_sell, tradable, ret AS r
+    FROM probs pb JOIN gd USING (decision_date) JOIN returns r ON r.decision_date = pb.decision_date AND r.ticker = pb.ticker, gk
+  UNION ALL SELECT 'shift_' || k, i, 'CASH', NULL, NULL, NULL, NULL, 0 FROM gd, gk)"""
+REPLAYED = """rp AS (SELECT 'shift_' || k AS p, 0::BIGINT AS i, 'CASH' AS ticker, NULL::VARCHAR AS action, 1e0 AS w, 0e0 AS r FROM gk UNION ALL SELECT * FROM (
+  WITH h AS (SELECT p, i + 1 AS i, ticker, w * (1 + r) / sum(w * (1 + r)) OVER (PARTITION BY p) AS w FROM rp
+    WHERE (w > 0 OR ticker = 'CASH') AND i < (SELECT max(i) FROM gd)),
+  b AS (SELECT coalesce(h.p, x.p) AS p, coalesce(h.i, x.i) AS i, coalesce(h.ticker, x.ticker) AS ticker, coalesce(w, 0) AS w, coalesce(r, 0) AS r, p_buy,
+      CASE WHEN coalesce(h.ticker, x.ticker) = 'CASH' THEN NULL WHEN w > 1e-8 AND tradable AND (p_sell >= 0.8 OR p_hold < 0.25) THEN 'SELL' WHEN w > 1e-8 THEN 'HOLD'
+        WHEN tradable AND p_buy >= 0.5 THEN 'BUY' ELSE 'FLAT' END AS action
+    FROM (SELECT gp.* FROM gp JOIN (SELECT DISTINCT i FROM h) USING (i)) x FULL JOIN h ON h.p = x.p AND h.ticker = x.ticker),
+  f AS (SELECT *, row_number() OVER (PARTITION BY p, action ORDER BY p_buy DESC, ticker) AS rk, count(*) FILTER (action = 'HOLD') OVER (PARTITION BY p) AS kept,
+      sum(CASE WHEN action = 'SELL' OR ticker = 'CASH' THEN w ELSE 0 END) OVER (PARTITION BY p) AS funds FROM b),
+  a AS (SELECT *, coalesce(action = 'BUY' AND rk <= least(8 - kept, floor((funds + 1e-12) / 0.07)), false) AS got FROM f)
+  SELECT p, i, ticker, action, CASE WHEN ticker = 'CASH' THEN funds - 0.07 * count(*) FILTER (got) OVER (PARTITION BY p)
+    WHEN action = 'HOLD' THEN w WHEN got THEN 0.07 ELSE 0 END AS w, r FROM a))"""
+add(
+    "k13_policy_replay",
+    lambda s, sf: replayed(s, sf).select("portfolio_id", "decision_date", "ticker", "action", sig("weight")),
+    with_sql(*BASE, PROBS, GATED, REPLAYED, recursive=True) + f"\nSELECT p AS portfolio_id, decision_date, ticker, action, {sig_sql('w', 'weight')} FROM rp JOIN gd USING (i)",
+)
 
 
 def action_rows(s, sf):
