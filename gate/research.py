@@ -104,7 +104,31 @@ add(
     lambda s, sf: features(s, sf).select("date", "ticker", desk.trend().alias("primary_trend")),
     desk_sql("SELECT date, ticker, CASE WHEN close > ema_fast AND ema_fast > ema_mid AND ema_mid > ema_slow THEN 'bullish' WHEN close < ema_fast AND ema_fast < ema_mid AND ema_mid < ema_slow THEN 'bearish' ELSE 'transitional' END AS primary_trend FROM b6"),
 )
-add("r12_zones", lambda s, sf: desk.latest_state(features(s, sf)).select("ticker", sig("__demand.low", "demand_low"), sig("__demand.high", "demand_high"), F.col("__demand.touches").alias("demand_touches"), sig("__supply.low", "supply_low"), sig("__supply.high", "supply_high"), F.col("__supply.touches").alias("supply_touches")))
+ZONES = [
+    f"""tail AS (SELECT *, avg(volume) FILTER (r > 0) OVER ({P} ROWS 19 PRECEDING) AS uv, avg(volume) FILTER (r < 0) OVER ({P} ROWS 19 PRECEDING) AS dn,
+  list(low_event) FILTER (low_event IS NOT NULL) OVER ({P} ROWS 119 PRECEDING) AS l120, list(high_event) FILTER (high_event IS NOT NULL) OVER ({P} ROWS 119 PRECEDING) AS h120 FROM b6),
+latest AS (SELECT *, coalesce(list_filter(l120, lambda x: x < close), []) AS below, coalesce(list_filter(h120, lambda x: x > close), []) AS above FROM tail
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
+lv AS (SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY x) AS k FROM (
+  SELECT ticker, 'demand' AS side, unnest(CASE WHEN len(below) > 0 THEN below ELSE [support] END) AS x, 0.75 * atr AS tol FROM latest
+  UNION ALL SELECT ticker, 'supply', unnest(CASE WHEN len(above) > 0 THEN above ELSE [resistance] END), 0.75 * atr FROM latest))""",
+    """gr AS (SELECT ticker, side, k, x, x AS total, 1 AS n, 1 AS g FROM lv WHERE k = 1
+  UNION ALL SELECT lv.ticker, lv.side, lv.k, lv.x, CASE WHEN abs(lv.x - total / n) <= tol THEN total ELSE 0 END + lv.x, CASE WHEN abs(lv.x - total / n) <= tol THEN n ELSE 0 END + 1,
+    CASE WHEN abs(lv.x - total / n) <= tol THEN g ELSE g + 1 END FROM gr JOIN lv ON lv.ticker = gr.ticker AND lv.side = gr.side AND lv.k = gr.k + 1)""",
+    """mid AS (SELECT ticker, side, median(x) AS m, count(*) AS touches FROM gr JOIN (SELECT ticker, side, max(g) AS top FROM gr GROUP BY 1, 2) USING (ticker, side)
+  WHERE g = CASE side WHEN 'demand' THEN top ELSE 1 END GROUP BY 1, 2),
+zn AS (SELECT ticker, side, touches, m - greatest(0.35 * atr, m * 0.0025) AS low, m + greatest(0.35 * atr, m * 0.0025) AS high FROM mid JOIN latest USING (ticker)),
+zoned AS (SELECT t.* EXCLUDE (low, high), d.low AS demand_low, d.high AS demand_high, d.touches AS demand_touches, u.low AS supply_low, u.high AS supply_high, u.touches AS supply_touches
+  FROM latest t JOIN zn d ON d.ticker = t.ticker AND d.side = 'demand' JOIN zn u ON u.ticker = t.ticker AND u.side = 'supply')""",
+]
+EDGES = ["demand_low", "demand_high", "supply_low", "supply_high"]
+add(
+    "r12_zones",
+    lambda s, sf: desk.latest_state(features(s, sf)).select(
+        "ticker", *[sig("__" + e.replace("_", "."), e) for e in EDGES], F.col("__demand.touches").alias("demand_touches"), F.col("__supply.touches").alias("supply_touches")
+    ),
+    desk_sql(f"SELECT ticker, {sigs_sql(*EDGES)}, demand_touches, supply_touches FROM zoned", *ZONES),
+)
 STATES = """CASE WHEN greatest(swing_avwap, stress_avwap) IS NULL THEN 'AVWAP reference unavailable' WHEN close > greatest(swing_avwap, stress_avwap) THEN 'above all available AVWAP references'
   WHEN close < least(swing_avwap, stress_avwap) THEN 'below all available AVWAP references' ELSE 'between AVWAP references' END"""
 add(
@@ -115,20 +139,62 @@ add(
   (SELECT *, avg(volume) FILTER (r > 0) OVER ({P} ROWS 19 PRECEDING) AS uv, avg(volume) FILTER (r < 0) OVER ({P} ROWS 19 PRECEDING) AS dn FROM b6)"""
     ),
 )
-add("r14_scenarios", lambda s, sf: desk.scenario_table(desk.snapshots(desk.latest_state(features(s, sf)))).drop("thesis", "invalidation"))
-SHOWN = ["momentum_21d", "near_52w_high", "realized_vol_20", "volume_z_20", "log_adv_20", "bars_since_swing_low"]
+
+
+def _scenario_sql(direction: str) -> str:
+    long = direction == "long"
+    sign, far, near = ("1", "greatest", "least") if long else ("-1", "least", "greatest")
+    level, outer, inner = ("resistance", "supply_high", "supply_low") if long else ("support", "demand_low", "demand_high")
+    return f"""SELECT ticker, '{direction}' AS direction, {sign} AS sg, close, atr, {far}({level}, {outer}, coalesce({far}(swing_avwap, stress_avwap), close)) + {sign} * 0.10 * atr AS trig,
+  {near}({level}, {inner}) - {sign} * 0.25 * atr AS loose FROM zoned"""
+
+
+SCENARIOS = f"""s1 AS ({_scenario_sql('long')} UNION ALL {_scenario_sql('bearish')}),
+s2 AS (SELECT *, CASE direction WHEN 'long' THEN greatest(loose, trig - 2 * atr) ELSE least(loose, trig + 2 * atr) END AS stop_, sg * (trig - close) / atr AS dist FROM s1),
+s3 AS (SELECT *, sg * (trig - stop_) AS risk, CASE WHEN trig > 0 THEN sg * (trig - stop_) / trig ELSE 'Infinity'::DOUBLE END AS frac FROM s2)"""
+add(
+    "r14_scenarios",
+    lambda s, sf: desk.scenario_table(desk.snapshots(desk.latest_state(features(s, sf)))).drop("thesis", "invalidation").withColumn("eligible", F.col("eligible").cast("int")),
+    desk_sql(
+        """SELECT ticker, direction, CASE WHEN dist <= 0 THEN 'triggered' WHEN dist <= 2.5 THEN 'watch' ELSE 'distant' END AS status,
+  (trig > 0 AND risk > 0 AND frac <= 0.08 AND dist <= 2.5)::INT AS eligible, round_even(trig, 2) AS "trigger", round_even(stop_, 2) AS stop, round_even(trig + sg * 2 * risk, 2) AS target_1,
+  round_even(trig + sg * 3 * risk, 2) AS target_2, round_even(risk, 2) AS risk_per_share, CASE WHEN trig > 0 THEN round_even(frac, 4) ELSE frac END AS risk_fraction,
+  2e0 AS reward_risk_1, 3e0 AS reward_risk_2, round_even(dist, 2) AS trigger_distance_atr FROM s3""",
+        *ZONES, SCENARIOS,
+    ),
+)
+TREND = """CASE WHEN close > ema_fast AND ema_fast > ema_mid AND ema_mid > ema_slow THEN 'bullish' WHEN close < ema_fast AND ema_fast < ema_mid AND ema_mid < ema_slow THEN 'bearish' ELSE 'transitional' END"""
+VOLUMES = """CASE WHEN uv IS NULL OR dn IS NULL THEN 'mixed' WHEN uv > dn * 1.10 THEN 'up-day volume dominant' WHEN dn > uv * 1.10 THEN 'down-day volume dominant' ELSE 'balanced' END"""
+SNAP_SQL = {
+    "as_of": "date", "last_close": "round_even(close, 2)", "primary_trend": TREND, "atr": "round_even(atr, 4)",
+    "trend_score": f"CASE {TREND} WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END",
+    "structure_score": "CASE market_structure WHEN 'higher highs and higher lows' THEN 1 WHEN 'lower highs and lower lows' THEN -1 ELSE 0 END",
+    "price_volume_state": VOLUMES, "avwap_state": STATES, "bars_since_swing_high": "pos - hpos", "bars_since_swing_low": "pos - lpos",
+    **{n: f"round_even({n}, 2)" for n in ("support", "resistance", "swing_avwap", "stress_avwap")},
+    **{f"{side}_zone_{edge}": f"round_even({side}_{edge}, 2)" for side in ("demand", "supply") for edge in ("low", "high")},
+    **{f"{side}_zone_touches": f"{side}_touches" for side in ("demand", "supply")},
+}
+AS_IS = ("ticker", "as_of", "primary_trend", "market_structure", "price_volume_state", "avwap_state")
 add(
     "r15_latest_snapshot",
-    lambda s, sf: desk.snapshots(desk.latest_state(features(s, sf))).select("ticker", "as_of", "market_structure", "avwap_state", *sigs(*SHOWN), F.col("error").isNull().cast("int").alias("ok")),
-    desk_sql(f"SELECT ticker, date AS as_of, market_structure, {STATES} AS avwap_state, " + ", ".join(sig_sql("pos - lpos" if n.startswith("bars") else n, n) for n in SHOWN) + ", 1 AS ok FROM lastrow", LAST),
+    lambda s, sf: desk.snapshots(desk.latest_state(features(s, sf))).select(
+        *AS_IS, *[sig(n) for n in desk.SNAPSHOT if n not in AS_IS], F.col("error").isNull().cast("int").alias("ok")
+    ),
+    desk_sql(
+        "SELECT " + ", ".join(f"{SNAP_SQL.get(n, n)} AS {n}" if n in AS_IS else sig_sql(SNAP_SQL.get(n, n), n) for n in desk.SNAPSHOT) + ", 1 AS ok FROM zoned",
+        *ZONES,
+    ),
 )
+LABELLED = ("primary_trend", "market_structure", "avwap_state")
 add(
     "r16_factor_table",
-    lambda s, sf: desk.factor_table(desk.snapshots(desk.latest_state(features(s, sf)))).filter("sleeve = 'Momentum' OR sleeve = 'Structure'").select("ticker", "metric", sig("value"), "label"),
+    lambda s, sf: desk.factor_table(desk.snapshots(desk.latest_state(features(s, sf)))).select("ticker", "sleeve", "metric", sig("value"), "label", "units_or_definition"),
     desk_sql(
-        f"""SELECT ticker, '21-day return' AS metric, {sig_sql('momentum_21d', 'value')}, NULL AS label FROM lastrow UNION ALL
-SELECT ticker, '126-to-21-day return', {sig_sql('momentum_126_21d', 'value')}, NULL FROM lastrow UNION ALL SELECT ticker, 'Confirmed structure', NULL, market_structure FROM lastrow""",
-        LAST,
+        " UNION ALL ".join(
+            f"SELECT ticker, '{sleeve}' AS sleeve, '{metric}' AS metric, {sig_sql('NULL' if c in LABELLED else c, 'value')}, {SNAP_SQL.get(c, c) if c in LABELLED else 'NULL'} AS label, '{unit}' AS units_or_definition FROM zoned"
+            for sleeve, metric, c, unit in desk.FACTORS
+        ),
+        *ZONES,
     ),
 )
 add(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeweave.config import DeskConfig
 from tapeweave.functions.ewm import Ewm, block_rows_for, with_ewm
@@ -382,13 +382,21 @@ SNAPSHOT = (
 def latest_state(features: DataFrame, cfg: DeskConfig | None = None) -> DataFrame:
     """Each ticker's most recent bar with its recent windows, zones and scenarios.
 
-    The last bar is found by a combining aggregate; only one row per ticker reaches the folds.
+    Only the bars that the lookbacks reach are kept, and one aggregate over them gives the windows
+    of ``with_recent_windows`` as of the last one.
     """
     cfg = cfg or DeskConfig()
-    rows = with_recent_windows(features, cfg)
-    names = [c for c in rows.columns if c != "ticker"]
-    last = rows.groupBy("ticker").agg(F.max_by(F.struct(*names), F.col("date")).alias("r"))
-    return with_state(last.select("ticker", "r.*"), cfg)
+    back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))
+    tail = features.withColumn("__back", back).filter(F.col("__back") <= max(cfg.zone_lookback, cfg.volume_window))
+    zone, days = F.col("__back") <= cfg.zone_lookback, F.col("__back") <= cfg.volume_window
+    last = tail.groupBy("ticker").agg(
+        *[F.max(F.when(F.col("__back") == 1, F.col(c))).alias(c) for c in features.columns if c != "ticker"],
+        F.collect_list(F.when(zone, F.col("low_event"))).alias("__low_levels"),
+        F.collect_list(F.when(zone, F.col("high_event"))).alias("__high_levels"),
+        F.avg(F.when(days & (F.col("return") > 0), F.col("volume"))).alias("__up_volume"),
+        F.avg(F.when(days & (F.col("return") < 0), F.col("volume"))).alias("__down_volume"),
+    )
+    return with_state(last, cfg)
 
 
 def snapshots(state: DataFrame) -> DataFrame:
