@@ -225,6 +225,7 @@ for name, column in (("m3", "diff"), ("m4", "pct_change"), ("m5", "log_return"),
         with_sql(*MACRO_CTES) + f"\nSELECT date, series, {sig_sql(column)} FROM mz WHERE level IS NOT NULL",
     )
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
+MACRO_PARTS = ("level", "diff", "pct_change", "log_return", "zscore")
 
 
 @case(
@@ -233,12 +234,11 @@ SYMBOLS = ["click", "error", "purchase", "signup", "view"]
     + "\nSELECT date, "
     + ", ".join(
         sig_sql(f"max(CASE WHEN series = 'macro_{s}' THEN {p} END)", f"macro_{s}" + ("" if p == "level" else f"_{p}"))
-        for p in ("level", "diff")
+        for p in MACRO_PARTS
         for s in SYMBOLS
     )
     + " FROM mz GROUP BY date",
 )
 def _macro_wide(spark, sf):
     wide = macro_features(macro(spark, sf), SYMBOLS, levels=True)
-    names = [f"macro_{s}" for s in SYMBOLS] + [f"macro_{s}_diff" for s in SYMBOLS]
-    return wide.select("date", *sigs(*names))
+    return wide.select("date", *sigs(*(c for c in wide.columns if c != "date")))

@@ -1,12 +1,14 @@
-"""Models and whole plans: no SQL equivalent, so rows only."""
+"""Models and whole plans. Fitted trees have no SQL equivalent; what their output must keep has."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gate.base import add, bars, bench, macro
-from gate.market import market_returns, returns, weekly
-from gate.transform import split_table, training_rows
+from gate.base import BARS, WEEKLY, add, bars, bench, macro, sigs, sigs_sql, with_sql
+from gate.features import features_sql
+from gate.market import market_returns, returns, routed_sql, weekly
+from gate.portfolio import BASE, LEDGER, PERIOD_SQL, PW, metrics_sql
+from gate.transform import POOLED, split_table, splits_sql, training_rows
 from tapeweave.config import (
     BoostedClassifier,
     BoostedRegression,
@@ -17,11 +19,11 @@ from tapeweave.config import (
     PolicyConfig,
     WalkForwardConfig,
 )
-from tapeweave.operators import datasets, models
+from tapeweave.operators import datasets, metrics, models
 from tapeweave.operators.asset_features import asset_features
 from tapeweave.operators.calendar import keep_dates
 from tapeweave.operators.labels import forward_return_targets
-from tapeweave.operators.routing import EVENT_MODEL
+from tapeweave.operators.routing import EVENT_MODEL, feature_set
 from tapeweave.plans.bundle import feature_bundle
 from tapeweave.plans.efficacy_study import run_study
 from tapeweave.plans.walk_forward import event_walk_forward, prepared_splits, rule_walk_forward, score_walk_forward
@@ -91,15 +93,69 @@ def _events(s, sf):
 
 def _bundle(s, sf):
     market = MarketBundle(bars(s, sf), bench(s, sf), macro(s, sf), weekly(s, sf))
-    cfg = FeatureConfig(feature_set="baseline_plus_liquidity_ranked")
+    cfg = FeatureConfig(feature_set=BUNDLE)
     return feature_bundle(market, cfg).assets
 
 
 add("g1_g2_pooled_scores", _scored)
 add("g3_g4_action_probabilities", _probabilities)
 add("g6_split_scores", _split_scores)
-add("e10_rule_walk_forward", _rules)
 add("g6_boosted_walk_forward", _boosted)
 add("k13_event_walk_forward", _events)
-add("c6_feature_bundle", _bundle)
+
+
+def _contract(scores, again, keys: list[str], names: list[str], low: float, high: float):
+    """Per key: whether all numbers lie within the bounds, and whether a second fit under the same seed repeats them.
+
+    Trees add up statistics in the order in which tasks finish, so the last digits may differ.
+    """
+    first = scores.select(*keys, F.struct(*names).alias("a"))
+    second = again.select(*keys, F.struct(*names).alias("b"))
+    sound = repeated = F.lit(True)
+    for n in names:
+        sound &= F.col(f"a.{n}").between(low, high) & ~F.isnan(f"a.{n}")
+        repeated &= F.abs(F.col(f"a.{n}") - F.col(f"b.{n}")) <= 1e-6 * F.greatest(F.abs(f"a.{n}"), F.lit(1.0))
+    flags = {"sound": sound, "repeated": repeated}
+    return first.join(second, keys, "full").select(
+        *keys, *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in flags.items()]
+    )
+
+
+ANY = 1e300
+DATE_KEYS = ["decision_date", "ticker"]
+add(
+    "g1_g2_contract",
+    lambda s, sf: _contract(_scored(s, sf), _scored(s, sf), DATE_KEYS, ["score"], -ANY, ANY),
+    with_sql(BARS, WEEKLY) + "\nSELECT date AS decision_date, ticker, 1 AS sound, 1 AS repeated FROM bars WHERE date IN (SELECT decision_date FROM weekly)",
+)
+add(
+    "g3_g4_contract",
+    lambda s, sf: _contract(_probabilities(s, sf), _probabilities(s, sf), DATE_KEYS, ["p_buy", "p_hold", "p_sell"], 0.0, 1.0),
+    features_sql("SELECT decision_date, ticker, 1 AS sound, 1 AS repeated FROM pooled", extra=POOLED),
+)
+add(
+    "g6_contract",
+    lambda s, sf: _contract(_split_scores(s, sf), _split_scores(s, sf), ["split_index", "date", "ticker"], ["score"], -ANY, ANY),
+    with_sql(BARS, WEEKLY, splits_sql())
+    + "\nSELECT split_index, date, ticker, 1 AS sound, 1 AS repeated FROM bars JOIN splits ON date BETWEEN test_start AND test_end WHERE date IN (SELECT decision_date FROM weekly)",
+)
+TESTED = [
+    *BASE, splits_sql(4),
+    """tested AS (SELECT DISTINCT r.decision_date, r.ticker FROM returns r JOIN bars b ON b.date = r.decision_date AND b.ticker = r.ticker
+  JOIN splits ON r.decision_date BETWEEN test_start AND test_end)""",
+    PW.replace("FROM returns", "FROM tested"), LEDGER, PERIOD_SQL,
+    """paths AS (SELECT p, split_index, decision_date, net, b, turnover, cost FROM lt
+  UNION ALL SELECT DISTINCT 'BENCHMARK', split_index, decision_date, b, b, 0, 0 FROM lt)""",
+]
+add(
+    "e10_rule_walk_forward",
+    lambda s, sf: _rules(s, sf).select("portfolio_id", "split_index", *sigs(*metrics.METRICS)),
+    with_sql(*TESTED, metrics_sql("paths", "p, split_index")) + f"\nSELECT p AS portfolio_id, split_index, {sigs_sql(*metrics.METRICS)} FROM met",
+)
+BUNDLE = "baseline_plus_liquidity_ranked"
+add(
+    "c6_feature_bundle",
+    lambda s, sf: _bundle(s, sf).select("date", "ticker", *sigs(*feature_set(BUNDLE))),
+    routed_sql(BUNDLE, "date IN (SELECT decision_date FROM weekly)", (WEEKLY,)),
+)
 add("y7_study", lambda s, sf: run_study(bars(s, sf), enabled=("cmf", "frog_in_the_pan"), columns=("cmf", "cmf_slope", "frog_in_the_pan"), horizons=(5, 60), controls=("cmf",)).partial)

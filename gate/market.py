@@ -21,11 +21,12 @@ from gate.base import (
     table,
     with_sql,
 )
-from gate.features import EXPR, RELATIVE, RELATIVE_CTES, features_sql
+from gate.features import EXPR, RELATIVE, RELATIVE_CTES, features_sql, rank_sql
 from tapeweave.config import DeskConfig
 from tapeweave.operators import calendar as cal
 from tapeweave.operators import datasets, lineage, routing
 from tapeweave.operators.asset_features import asset_features
+from tapeweave.operators.cross_section import percentile_ranks
 from tapeweave.operators.macro import series_name_column
 from tapeweave.operators.market_relative import market_relative_features, with_benchmark
 from tapeweave.sources import desk, universe, validation, vendor
@@ -195,8 +196,8 @@ LAST_SQL = """t AS (SELECT upper(p_brand) AS ticker, CAST(l_shipdate AS DATE) AS
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 add(
     "a14_desk_cleaned",
-    lambda s, sf: desk.cleaned(_raw_desk(s, sf), "sequence").select("date", "ticker", sig("close"), sig("volume")),
-    with_sql(LAST_SQL) + f"\nSELECT date, ticker, {sig_sql('px', 'close')}, {sig_sql('volume')} FROM t WHERE n = 1 AND px IS NOT NULL",
+    lambda s, sf: desk.cleaned(_raw_desk(s, sf), "sequence").select("date", "ticker", *sigs(*PRICES, "volume")),
+    with_sql(LAST_SQL) + f"\nSELECT date, ticker, {', '.join(sig_sql('px', c) for c in PRICES)}, {sig_sql('volume')} FROM t WHERE n = 1 AND px IS NOT NULL",
 )
 
 
@@ -244,25 +245,47 @@ add(
 )
 add(
     "a19_fingerprint",
-    lambda s, sf: lineage.table_fingerprint(table(s, sf, "lineitem").select("l_linestatus", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")),
-    """WITH d AS (SELECT sha256(concat_ws('|', l_linenumber::VARCHAR, l_linestatus, l_orderkey::VARCHAR, l_partkey::VARCHAR, l_returnflag)) AS h FROM lineitem),
+    lambda s, sf: lineage.table_fingerprint(table(s, sf, "lineitem")),
+    """WITH d AS (SELECT sha256(concat_ws('|', """
+    + ", ".join(f"l_{c}::VARCHAR" for c in sorted("orderkey partkey suppkey linenumber quantity extendedprice discount tax returnflag linestatus shipdate".split()))
+    + """)) AS h FROM lineitem),
 s AS (SELECT count(*) AS rows, """
     + " || '-' || ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
     + " AS x FROM d) SELECT rows, sha256(rows::VARCHAR || '-' || x) AS digest FROM s",
 )
 
 # Routing -------------------------------------------------------------------
-for name in routing.FEATURE_SETS:
+
+
+def routed(spark, sf, name: str):
+    """Every column of a set in its order, ranks and market-relative ones included."""
     columns = routing.feature_set(name)
-    if any(c.endswith(routing.RANK_SUFFIX) for c in columns):
-        continue
+    df = asset_features(bars(spark, sf))
     if any(c in RELATIVE for c in columns):
-        continue
-    shown = columns[:3] + columns[-3:]
+        df = df.join(market_relative_features(bars(spark, sf), bench(spark, sf)), ["date", "ticker"], "left")
+    raw = [c.removesuffix(routing.RANK_SUFFIX) for c in columns if c.endswith(routing.RANK_SUFFIX)]
+    return routing.route(percentile_ranks(df, raw) if raw else df, name)
+
+
+def routed_sql(name: str, rows: str = "TRUE", extra: tuple[str, ...] = ()) -> str:
+    """The same, for the bars that meet ``rows``."""
+    columns = routing.feature_set(name)
+    raw = list(dict.fromkeys(c.removesuffix(routing.RANK_SUFFIX) for c in columns))
+    own = [c for c in raw if c not in RELATIVE]
+    ctes = ["ow AS (SELECT date, ticker, " + ", ".join(f"{EXPR[c]} AS v_{c}" for c in own) + " FROM k)"]
+    relative = [c for c in raw if c in RELATIVE]
+    if relative:
+        ctes += [BENCH, *RELATIVE_CTES, "rv AS (SELECT date, ticker, " + ", ".join(f"{RELATIVE[c]} AS v_{c}" for c in relative) + " FROM re)"]
+    ctes.append(f"wd AS (SELECT * FROM ow {'JOIN rv USING (date, ticker)' if relative else ''} WHERE {rows})")
+    cell = lambda c: rank_sql("v_" + c.removesuffix(routing.RANK_SUFFIX), c) if c.endswith(routing.RANK_SUFFIX) else "v_" + c
+    return features_sql("SELECT date, ticker, " + ", ".join(sig_sql(cell(c), c) for c in columns) + " FROM wd", extra=[*extra, *ctes])
+
+
+for name in routing.FEATURE_SETS:
     add(
         f"b1_{name}",
-        lambda s, sf, n=name, c=shown: routing.route(asset_features(bars(s, sf)), n).select("date", "ticker", *sigs(*dict.fromkeys(c))),
-        features_sql("SELECT date, ticker, " + ", ".join(sig_sql(EXPR[c], c) for c in dict.fromkeys(shown)) + " FROM k"),
+        lambda s, sf, n=name: routed(s, sf, n).select("date", "ticker", *sigs(*routing.feature_set(n))),
+        routed_sql(name),
     )
 add(
     "b3_event_model_route",

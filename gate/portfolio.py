@@ -476,13 +476,14 @@ add(
     with_sql(*BASE, PW, LEDGER, "ls AS (SELECT p, decision_date, turnover, b, mult, net + cost * (1 - mult) AS net, cost * mult AS cost FROM lg, (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS mult))", metrics_sql("ls", "p, mult"))
     + "\nSELECT p AS portfolio_id, max(CASE WHEN mult = 1 THEN (max_drawdown <= 0.6 AND information_ratio >= -1)::INT END) AS base_passed, min((max_drawdown <= 0.6 AND information_ratio >= -1)::INT) AS passed FROM met GROUP BY 1",
 )
-SHORT = ["portfolio_cumulative_return", "benchmark_cumulative_return", "relative_alpha", "portfolio_max_drawdown", "portfolio_sharpe_ratio", "information_ratio"]
+AGAINST = ("relative_alpha", "tracking_error", "information_ratio", "beta", "regression_alpha")
+SHOWN = {"bench_return": "benchmark_cumulative_return"} | {m: m if m in AGAINST else "portfolio_" + m for m in M if m not in ("annualized_return", "volatility")}
 add(
     "x11_split_metrics",
-    lambda s, sf: metrics.split_metrics_table(by_split(s, sf), split_table(s, sf), 52).select("portfolio_id", "split_index", "test_start", "test_end", *sigs(*SHORT)),
+    lambda s, sf: metrics.split_metrics_table(by_split(s, sf), split_table(s, sf), 52).select("portfolio_id", "split_index", "test_start", "test_end", *sigs(*SHOWN.values())),
     with_sql(*BASE, PW, LEDGER, splits_sql(), PERIOD_SQL, metrics_sql("lt", "p, split_index, test_start, test_end"))
     + "\nSELECT p AS portfolio_id, split_index, test_start, test_end, "
-    + ", ".join(sig_sql(x, a) for x, a in zip(("cumulative_return", "bench_return", "relative_alpha", "max_drawdown", "sharpe_ratio", "information_ratio"), SHORT))
+    + ", ".join(sig_sql(x, a) for x, a in SHOWN.items())
     + " FROM met",
 )
 

@@ -119,9 +119,7 @@ SELECT split_index, date, ticker, role, {sig_sql(_z('price', 60, part='split_ind
 )
 add(
     "p10_fit_windows",
-    lambda s, sf: splits.assign_splits(raw(s, sf), split_table(s, sf)).groupBy("split_index", "role").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n")
-    ),
+    lambda s, sf: preprocess.fit_windows(splits.assign_splits(raw(s, sf), split_table(s, sf)), ("split_index", "role")),
     with_sql(BARS, WEEKLY, RAW, splits_sql(), TAGGED)
     + "\nSELECT split_index, role, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM tagged GROUP BY ALL",
 )

@@ -93,16 +93,23 @@ def _zscore(name: str, s: Series, cfg: PreprocessConfig, spec: Transform | None)
     return F.coalesce(score, F.lit(0.0))
 
 
+def fit_windows(rows: DataFrame, keys=()) -> DataFrame:
+    """First and last date and the number of rows, per key."""
+    return rows.groupBy(*keys).agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def date_range(table: DataFrame):
     """First and last date (the fit window); empty tables are an error."""
-    row = table.agg(F.min("date").alias("start"), F.max("date").alias("end")).first()
-    if row.start is None:
+    row = fit_windows(table).first()
+    if not row.n:
         raise ValueError("A table without rows has no first and last date.")
     return row
 
 
 def check_train_before_test(train: DataFrame, test: DataFrame) -> None:
-    if date_range(train).end >= date_range(test).start:
+    if date_range(train).last_date >= date_range(test).first_date:
         raise ValueError("The test table starts before the train table is over.")
 
 
