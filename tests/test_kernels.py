@@ -25,6 +25,15 @@ def test_ewm_matches_the_recursion_across_blocks(spark, day, block):
     np.testing.assert_allclose(got.wilder, series.ewm(alpha=0.05, adjust=False, min_periods=20).mean(), rtol=1e-9, atol=1e-9)
 
 
+def test_ewm_keeps_a_large_early_value(spark, day):
+    x = np.ones(600)
+    x[0] = 1e40
+    s = Series("ticker", block_rows=32)
+    df = s.number(spark.createDataFrame([("A", day(i), float(v)) for i, v in enumerate(x)], "ticker string, date date, x double"))
+    got = with_ewm(df, s, Ewm("x", "e", alpha=0.1)).orderBy("date").toPandas()
+    np.testing.assert_allclose(got.e, pd.Series(x).ewm(alpha=0.1, adjust=False).mean(), rtol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def crowded(spark):
     """One date with 600 names, a third of them equal, and a small date."""

@@ -6,7 +6,7 @@ import pytest
 from tapeweave.config import EventLabelConfig, LedgerConfig, PolicyConfig, PreprocessConfig, Transform
 from tapeweave.operators.calendar import open_to_open_returns, weekly_calendar
 from tapeweave.operators.labels import event_labels
-from tapeweave.operators.ledger import ledger
+from tapeweave.operators.ledger import executed_weights, ledger
 from tapeweave.operators.metrics import block_metrics, delayed_returns, performance
 from tapeweave.operators.policy import decide, fund, holding_periods, replay
 from tapeweave.operators.preprocess import preprocess
@@ -151,3 +151,38 @@ def test_family_order_and_errors():
     with pytest.raises(KeyError):
         build_order(["z"], known)
     assert len(feature_set("three_m_all_v1")) == 29
+
+
+@pytest.mark.parametrize("cap, initial, wide", [(None, "cash", False), (None, "equal_weight", True), (0.4, "cash", True)])
+def test_unusable_targets_keep_what_is_held(spark, day, cap, initial, wide):
+    rng = np.random.default_rng(5)
+    names, T = ["A", "B", "C", "D", "CASH"], 16
+    w = rng.random((T, 5))
+    w[[0, 3, 4, 5, 6, 10, 11, 15]] = np.nan
+    w[4] = -1.0
+    r = np.round(rng.normal(0, 0.2, (T, 5)), 6)
+    r[:, 4], r[5, 1] = 0.0, -1.5
+    listed = rng.random((T, 5)) < 0.8
+    listed[:, 4] = True
+    rows = [("p", day(t), n, float(w[t, i])) for t in range(T) for i, n in enumerate(names) if listed[t, i]]
+    returns = [(day(t), n, float(r[t, i])) for t in range(T) for i, n in enumerate(names[:4])]
+    cfg = LedgerConfig(initial=initial, max_position_weight=cap, top_n=2)
+    got = executed_weights(spark.createDataFrame(rows, WEIGHTS), spark.createDataFrame(returns, RETURNS), cfg, wide=wide)
+    got = {(x.decision_date, x.ticker): x.weight for x in got.collect()}
+    assert len(got) == len(rows)
+    cash = np.array([0, 0, 0, 0, 1.0])
+    share = lambda x: x / x.sum() if x.sum() > 0 else cash
+    held = None
+    for t in range(T):
+        here = listed[t]
+        if held is None:
+            held = cash if initial == "cash" else here / here.sum()
+        x = w[t] if np.isfinite(w[t][here]).all() and np.maximum(w[t], 0)[here].sum() > 0 else held
+        x = share(np.where(here, np.maximum(x, 0), 0))
+        top = sorted(range(4), key=lambda i: (-x[i] if here[i] else 1, names[i]))[:2]
+        x = share(np.where(np.isin(np.arange(5), [*top, 4]), x, 0))
+        if cap is not None:
+            x = np.where(cash == 1, x, np.minimum(x, cap))
+            x = share(x + cash * max(1 - x.sum(), 0))
+        np.testing.assert_allclose([got[day(t), n] for i, n in enumerate(names) if here[i]], x[here], atol=1e-12)
+        held = np.maximum(x * (1 + r[t]), 0)
