@@ -172,20 +172,24 @@ def _step(state, day: pd.DataFrame, cfg: PolicyConfig):
     if day["__start"].notna().any():
         book = dict(zip(day.ticker, day["__start"]))
         return (book, max(0.0, 1.0 - sum(book.values()))), day.head(0)
-    by_name = day.set_index("ticker")
+    at = {name: i for i, name in enumerate(day.ticker)}
+    tradable, p_buy, p_hold, p_sell = (day[c].to_numpy() for c in ("tradable", "p_buy", "p_hold", "p_sell"))
+    leave = tradable & ((p_sell >= cfg.sell_threshold) | (p_hold < cfg.hold_threshold))
     action, target = {}, dict(weights)
     for name, w in weights.items():
         if w <= cfg.holding_epsilon:
             continue
-        action[name] = HOLD
-        if name in by_name.index:
-            r = by_name.loc[name]
-            if r.tradable and (r.p_sell >= cfg.sell_threshold or r.p_hold < cfg.hold_threshold):
-                action[name] = SELL
-                cash += target.pop(name)
+        sold = name in at and leave[at[name]]
+        action[name] = SELL if sold else HOLD
+        if sold:
+            cash += target.pop(name)
     open_slots = cfg.max_positions - sum(1 for w in target.values() if w > cfg.holding_epsilon)
-    wants = day[day.tradable & (day.p_buy >= cfg.buy_threshold) & ~day.ticker.isin(list(action))]
-    for name in wants.sort_values(["p_buy", "ticker"], ascending=[False, True]).ticker:
+    tickers = day.ticker.to_numpy()
+    wants = np.flatnonzero(tradable & (p_buy >= cfg.buy_threshold))
+    for i in wants[np.lexsort((tickers[wants], -p_buy[wants]))]:
+        name = tickers[i]
+        if name in action:
+            continue
         action[name] = BUY
         if open_slots > 0 and cash + 1e-12 >= cfg.entry_weight:
             target[name] = cfg.entry_weight
@@ -201,8 +205,8 @@ def _step(state, day: pd.DataFrame, cfg: PolicyConfig):
             "weight": [*(target.get(n, 0.0) for n in names), cash],
         }
     )
-    growth = {n: 1.0 + (by_name["return"].get(n, 0.0) or 0.0) for n in target}
-    worth = {n: w * growth[n] for n, w in target.items()}
+    earned = day["return"].to_numpy(dtype=float)
+    worth = {n: w * (1.0 + (earned[at[n]] if n in at else 0.0)) for n, w in target.items()}
     total = sum(worth.values()) + cash
     if not np.isfinite(total) or total <= 0 or min(worth.values(), default=0.0) < 0:
         raise ValueError(f"Returns of {day.decision_date.iloc[0]} leave a portfolio without positive worth.")
