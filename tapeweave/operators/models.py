@@ -2,7 +2,8 @@
 
 The trees come from Spark ML: fits are distributed over the pooled rows, and only the loop over
 the (few) splits runs on the driver. Results follow the same contract as other tree
-libraries - deterministic by seed, finite scores, no label beyond the purge - not their bits.
+libraries - finite scores, no label beyond the purge, the same scores by seed up to the order in which
+statistics are added - not their bits.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import pytest
 
 from tapeweave.config import EventLabelConfig, LedgerConfig, PolicyConfig, PreprocessConfig, Transform
 from tapeweave.operators.calendar import open_to_open_returns, weekly_calendar
+from tapeweave.operators.covariance import shrunk_covariance
 from tapeweave.operators.labels import event_labels
 from tapeweave.operators.ledger import executed_weights, ledger
 from tapeweave.operators.metrics import block_metrics, delayed_returns, performance
@@ -186,3 +187,15 @@ def test_unusable_targets_keep_what_is_held(spark, day, cap, initial, wide):
             x = share(x + cash * max(1 - x.sum(), 0))
         np.testing.assert_allclose([got[day(t), n] for i, n in enumerate(names) if here[i]], x[here], atol=1e-12)
         held = np.maximum(x * (1 + r[t]), 0)
+
+
+def test_covariance_by_blocks_matches_numpy(spark, day):
+    x = np.random.default_rng(2).normal(0, 1, (30, 5))
+    rows = [(day(t), f"N{i}", float(x[t, i])) for t in range(30) for i in range(5) if (t, i) != (4, 2)] + [(day(4), "N2", None)]
+    want = np.cov(np.delete(x, 4, axis=0), rowvar=False) * (0.7 + 0.3 * np.eye(5))
+    got = shrunk_covariance(spark.createDataFrame(rows, RETURNS), [f"N{i}" for i in range(5)], 0.3, block=2, dates=7).collect()
+    assert len(got) == 25
+    for r in got:
+        assert r.covariance == pytest.approx(want[int(r.left[1]), int(r.right[1])])
+    with pytest.raises(ValueError):
+        shrunk_covariance(spark.createDataFrame(rows[:5], RETURNS), [f"N{i}" for i in range(5)])
