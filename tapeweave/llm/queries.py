@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import corpus_pipeline
-from tapeweave.llm import decontaminate, language, licenses, neighbours, packing, preferences, quality, simhash, token_counts, url_filter
+from tapeweave.llm import (
+    decontaminate, language, licenses, neighbours, packing, preferences, quality, ranked_search, repetition, simhash, spelling,
+    token_counts, url_filter,
+)
 from tapeweave.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -189,3 +193,71 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_neighbours")
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_SPACES = "\\x20\\x09-\\x0D"
+
+
+@query(
+    "op11_repetition",
+    f"""WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^{_SPACES}]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACES}]')) AS lines FROM texts),
+words AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS p FROM lists),
+repeats AS (
+  SELECT r, p, g, 1::BIGINT AS l FROM (SELECT r, p, min(p) OVER same AS g, count(*) OVER same AS c FROM words WINDOW same AS (PARTITION BY r, word)) WHERE c > 1
+  UNION ALL
+  SELECT r, p, g, l + 1 FROM (SELECT a.r, a.p, a.l, min(a.p) OVER same AS g, count(*) OVER same AS c
+    FROM repeats a JOIN words w ON w.r = a.r AND w.p = a.p + a.l WINDOW same AS (PARTITION BY a.r, a.g, w.word)) WHERE c > 1),
+inside AS (SELECT r, count(DISTINCT q) FILTER (l = {repetition.WINDOW}) AS n_repeat_words,
+    count(DISTINCT q) FILTER (l = {repetition.PASSAGE}) AS n_covered
+  FROM (SELECT r, l, unnest(range(p, p + l)) AS q FROM repeats WHERE l IN ({repetition.WINDOW}, {repetition.PASSAGE})) GROUP BY r),
+longest AS (SELECT r, max(l) AS longest_repeat FROM repeats GROUP BY r),
+passages AS (SELECT r, count(*) AS n_passages FROM (SELECT a.r FROM repeats a LEFT JOIN words b ON b.r = a.r AND b.p = a.p - 1
+    LEFT JOIN words n ON n.r = a.r AND n.p = a.p + a.l WHERE a.l >= {repetition.PASSAGE} GROUP BY a.r, a.l, a.g
+    HAVING count(DISTINCT b.word) + max((b.word IS NULL)::INT) > 1 AND count(DISTINCT n.word) + max((n.word IS NULL)::INT) > 1) GROUP BY r),
+figures AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered,
+    coalesce(longest_repeat, 0) AS longest_repeat, coalesce(n_passages, 0) AS n_passages
+  FROM lists LEFT JOIN inside USING (r) LEFT JOIN longest USING (r) LEFT JOIN passages USING (r)),
+judged AS (SELECT *, n_words < {repetition.WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT *, NOT (base_failed OR n_covered > {repetition.COVERED} * n_words OR longest_repeat > {repetition.LONGEST}) AS kept FROM judged""",
+)
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def mistyped(doc_id: str, word: str) -> str:
+    """``word`` as the contract of op12 misspells it: one document in 31 loses a letter of it."""
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    return word if h % 31 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), alter=mistyped))
+
+
+def _terms_sql(table: str, key: str) -> str:
+    return f"""SELECT {key}, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}"""
+
+
+@query(
+    "op13_ranked_search",
+    f"""WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+found AS (SELECT r, term, count(*) AS tf FROM ({_terms_sql("rows", "r")}) GROUP BY r, term),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM found GROUP BY r),
+totals AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM sizes),
+wanted AS (SELECT DISTINCT item_id, term FROM ({_terms_sql("benchmark", "item_id")})),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM found GROUP BY term), totals),
+scores AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll)))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN found USING (term) JOIN sizes USING (r), totals GROUP BY item_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores JOIN rows USING (r) WHERE score > 0)
+WHERE rank <= 10""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
