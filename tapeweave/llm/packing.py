@@ -4,8 +4,9 @@ Every partition keeps at most ``open_windows`` unfinished windows. A document's
 directly; its rest goes to the open window that it fits most tightly. When it fits none and no
 further window may be opened, the fullest open window is topped up with the head of the rest and
 emitted, so emitted windows carry no padding. Windows still open at the end of a partition are
-leftovers: they are gathered over groups of partitions, packed the same way, and what is then
-still open is cut into sequences whose lengths are powers of two, which need no padding.
+leftovers: they are gathered over groups of partitions and filled one after the other, which leaves
+one open window a group; these are gathered again until one group is left. Its last window alone is
+cut into sequences whose lengths are powers of two, which need no padding: 11 of them at the most.
 
 Defined results: a null text counts as empty, and an empty text is the single end id; repeated
 rows are packed as often as they come; a null id is carried as null; an empty table gives no
@@ -31,6 +32,7 @@ OPEN_WINDOWS = 64
 END_ID = 1
 GATHER = 16  # partitions whose leftovers meet in one task
 MERGED = 1 << 62  # sequence ids of merged leftovers start here
+PER_ROUND = 1 << 56  # sequence ids that a round of merging may give
 PER_TASK = 1 << 36  # sequence ids that a task may give
 
 
@@ -165,27 +167,37 @@ def pack(
             rows.sequence(number, pieces, True, with_ids)
         yield from rows.take(last=True)
 
-    def merge(batches):
-        windows = Windows(window, open_windows, MERGED + TaskContext.get().partitionId() * PER_TASK)
-        rows = Rows(arrow)
-        for batch in batches:
-            for r in batch.to_pylist():
-                for number, pieces in windows.add(r["doc_id"], r["start"], r["ids"], r["doc_tokens"]):
-                    rows.sequence(number, pieces, False, with_ids)
-            yield from rows.take()
-        for _, pieces in list(windows.open):
-            for run in powers(pieces):
-                rows.sequence(*windows.emit(run), False, with_ids)
-        yield from rows.take(last=True)
+    def merge(first_id: int, last: bool):
+        def run(batches):
+            # one open window: what doesn't fit tops it up, so all but the last window are full
+            windows = Windows(window, 1, first_id + TaskContext.get().partitionId() * PER_TASK)
+            rows = Rows(arrow)
+            for batch in batches:
+                for r in batch.to_pylist():
+                    for number, pieces in windows.add(r["doc_id"], r["start"], r["ids"], r["doc_tokens"]):
+                        rows.sequence(number, pieces, False, with_ids)
+                yield from rows.take()
+            for _, pieces in list(windows.open):
+                for cut in powers(pieces) if last else [pieces]:
+                    rows.sequence(*windows.emit(cut), not last, with_ids)
+            yield from rows.take(last=True)
+
+        return run
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     placed = texts.mapInArrow(first, schema)
     # One run of the placement feeds both branches: another run over reordered rows could place otherwise.
     placed = cut_lineage(placed)
-    tasks = max(1, -(-placed.rdd.getNumPartitions() // GATHER))
-    left = placed.where("leftover")
-    left = left.repartition(tasks, F.floor(F.col("sequence_id") / F.lit(PER_TASK * GATHER)))
-    left = left.sortWithinPartitions("sequence_id", "offset")
-    merged = left.mapInArrow(merge, schema)
-    out = placed.where("NOT leftover").unionByName(merged).drop("leftover")
+    done, left, first_id, round_ = placed.where("NOT leftover"), placed.where("leftover"), 0, 0
+    tasks = placed.rdd.getNumPartitions()
+    while True:
+        tasks = max(1, -(-tasks // GATHER))
+        group = F.floor((F.col("sequence_id") - F.lit(first_id)) / F.lit(PER_TASK * GATHER)) if tasks > 1 else F.lit(0)
+        first_id = MERGED + round_ * PER_ROUND
+        merged = left.repartition(tasks, group).sortWithinPartitions("sequence_id", "offset").mapInArrow(merge(first_id, tasks == 1), schema)
+        if tasks == 1:
+            break
+        merged = cut_lineage(merged)
+        done, left, round_ = done.unionByName(merged.where("NOT leftover")), merged.where("leftover"), round_ + 1
+    out = done.unionByName(merged).drop("leftover")
     return out if with_ids else out.drop("ids")

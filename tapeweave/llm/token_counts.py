@@ -11,7 +11,8 @@ else is encoded again.
 Why so little context is enough: the pattern forms pre-tokens from left to right and never looks
 more than two characters past a pre-token's end. So a pre-token that ends three characters or
 more before an edit stays, and so does everything after a boundary that old and new text share
-behind it.
+behind it. An added token is a pre-token of its own, and the pattern sees the text between two of
+them alone. As an edit can make or break one, context grows by the longest one's length.
 
 Edits of one batch have positions in the stored text, must not overlap, and count from 0 in
 characters (those at one position apply in their given order). A position or length beyond the
@@ -25,6 +26,7 @@ batch; a document's tree takes about a tenth of its text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,6 +53,19 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def pre_tokens(text: str, chunks: Chunks, start: int = 0) -> Iterator[tuple[int, int]]:
+    """Spans of pre-tokens and added tokens from ``start``, a border between two of them, on."""
+    while True:
+        mark = chunks.marks.search(text, start) if chunks.marks else None
+        end = mark.start() if mark else len(text)
+        for m in _pattern().finditer(text, start, end):
+            yield m.span()
+        if not mark:
+            return
+        yield mark.span()
+        start = mark.end()
+
+
 def sums(leaves: np.ndarray) -> np.ndarray:
     """Heap of sums over (leaf, 2) values: node i has children 2i and 2i + 1, the root is 1."""
     width = 1 << max(0, len(leaves) - 1).bit_length()
@@ -73,8 +88,7 @@ class Counted:
     def leaves_of(self, text: str) -> np.ndarray:
         parts = self.chunks.split(text)
         if parts is None:
-            spans = [m.span() for m in _pattern().finditer(text)]
-            return self.leaves_of_spans(text, spans)
+            return self.leaves_of_spans(text, list(pre_tokens(text, self.chunks)))
         tokens = np.fromiter((len(self.chunks[p]) // 4 for p in parts), dtype=np.int64, count=len(parts))
         # a chunk is its characters and the space before it; a marked one has no space, nor has a line break
         lengths = np.fromiter((len(p) - (p[:1] == START) + (p != "\n" and p[:1] != START) for p in parts), dtype=np.int64, count=len(parts))
@@ -90,6 +104,8 @@ class Counted:
         return np.stack([np.add.reduceat(lengths, starts), np.add.reduceat(tokens, starts)], axis=1)
 
     def pre_token(self, word: str) -> bytes:
+        if word in self.chunks.added:
+            return self.chunks.added[word]
         if "\x00" in word:
             return self.chunks.pack(word)
         return self.chunks[word[1:]] if word[:1] == " " and len(word) > 1 and not word.isspace() else self.chunks[START + word]
@@ -114,16 +130,16 @@ class Counted:
         if not deleted and not inserted:
             return
         width = len(self.tree) // 2
-        first, start = self.leaf_at(max(0, position - LOOK))
+        first, start = self.leaf_at(max(0, position - LOOK - self.chunks.longest))
         last, from_ = self.leaf_at(min(position + deleted, max(size - 1, 0)))
         end = from_ + int(self.tree[last, 0])
         self.text = text = self.text[:position] + inserted + self.text[position + deleted :]
         shift = len(inserted) - deleted
         spans, at = [], start
         # old boundaries behind the edit, in the new text; more leaves are taken in until one is met
-        for m in _pattern().finditer(text, start):
-            at = m.end()
-            spans.append(m.span())
+        for span in pre_tokens(text, self.chunks, start):
+            at = span[1]
+            spans.append(span)
             while at > end + shift and last + 1 < 2 * width and end < size:
                 last += 1
                 end += int(self.tree[last, 0])

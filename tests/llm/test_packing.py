@@ -8,18 +8,16 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tapeweave.llm.packing import pack
-from tapeweave.llm.tokens import Chunks, load_encoding
+from tapeweave.llm.tokens import Chunks, load_added, load_encoding
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return reference()
 
 
-CACHE = Chunks(load_encoding(), limit=50)
-PARTS = ["the", "Foo", "é", "'s", "'", "12", "a1", ",", "...", " ", "\n", "\t", " ", "\x1c", "\x00", "<|endoftext|>", "日本", "🙂", "\r\n"]
+CACHE = Chunks(load_encoding(), limit=50, added=load_added())
+PARTS = ["the", "Foo", "é", "'s", "'", "12", "a1", ",", "...", " ", "\n", "\t", " ", "\x1c", "\x00", "<|endoftext|>", "<|endoftext", "|>", "  ", "日本", "🙂", "\r\n"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -32,7 +30,6 @@ def test_chunked_ids_are_the_tokenizer_ids(text):
 def reference(held=[]):
     if not held:
         held.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-        held[0].encode_special_tokens = True
     return held[0]
 
 
@@ -79,3 +76,21 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted(str(r.doc_id) for r in rows if r.start == 0) == ["7", "7", "None"]
     assert sum(r.length for r in rows) == 9
     assert pack(table.where("doc_id > 7")).collect() == []
+
+
+def test_one_window_stays_open_over_many_partitions(spark, tokenizer):
+    texts = {i: "alpha beta " * (i % 37) for i in range(600)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(40)
+    rows = pack(table, window=256, open_windows=4).collect()
+    assert check(rows, texts, tokenizer, 256) == 0
+    filled = {}
+    for r in rows:
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+    assert sum(n < 256 for n in filled.values()) <= 8
+
+
+def test_added_tokens_count_as_one_id(spark, tokenizer):
+    texts = {1: "<|endoftext|>", 2: "one<|endoftext|><|endoftext|> two  <|endoftext|>", 3: "<|endoftext| >", 4: "a  <|endoftext|>\n\nb"}
+    rows = pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert check(rows, texts, tokenizer, 2048) == 0
+    assert next(r.doc_tokens for r in rows if r.doc_id == 1) == 2

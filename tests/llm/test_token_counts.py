@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeweave.llm import token_counts
-from tapeweave.llm.tokens import Chunks, load_encoding
+from tapeweave.llm.tokens import Chunks, load_added, load_encoding
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
-CHUNKS = Chunks(load_encoding())
-PARTS = ["the", " and", " Foo", "é", "'", "'r", "re", "e", "'s", " 12", "7", ",", " ...", " ", "  ", "\n", "\n\n", "\t", "\x00", "日本", "🙂", "x" * 40]
+CHUNKS = Chunks(load_encoding(), added=load_added())
+PARTS = ["the", " and", " Foo", "é", "'", "'r", "re", "e", "'s", " 12", "7", ",", " ...", " ", "  ", "\n", "\n\n", "\t", "\x00", "日本", "🙂", "x" * 40, "<|endoftext|>", "<|endof", "text|>"]
 
 
 def count(text):
@@ -85,3 +84,17 @@ def test_state_edits_and_one_pass_agree(spark):
     none = F.lit(None).cast(token_counts.EDITS)
     assert all(r.n_tokens == r.n_tokens_after for r in token_counts.counts_with_edits(docs, none).collect())
     assert token_counts.counts_with_edits(docs.where("false"), edit).collect() == []
+
+
+@pytest.mark.parametrize("before,after", [("one  ", "  two"), ("", ""), ("a..", "'s"), ("x" * 300 + " " * 50, "\n\n\n")])
+def test_edits_make_and_break_added_tokens(before, after):
+    mark = "<|endoftext|>"
+    for at in range(len(mark) + 1):
+        doc = token_counts.Counted(before + mark + after, CHUNKS)
+        doc.apply([{"position": len(before) + at, "deleted": 0, "inserted": " "}])
+        assert doc.n_tokens == count(doc.text)
+        doc.apply([{"position": len(before) + at, "deleted": 1, "inserted": ""}])
+        assert doc.text == before + mark + after and doc.n_tokens == count(doc.text)
+        doc.apply([{"position": len(before), "deleted": at, "inserted": mark[:at] + mark}])
+        assert doc.n_tokens == count(doc.text)
+        is_consistent(doc)
