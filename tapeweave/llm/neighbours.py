@@ -19,6 +19,8 @@ shards are merged by a window that keeps the best on the way. Work grows as quer
 the codes of vectors without structure have nothing to prune by, and a query set that grows with
 the table is compared to all of it.
 
+Vectors may be of any finite length: each is scaled by a power of two first, which leaves its cosines as they are.
+
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components are neither found nor answered; rows with a null id likewise; ties go to
 the smaller id; a row given twice under one id counts once; fewer than k other rows give all
@@ -127,8 +129,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component between 1/2 and 1: no square overflows, no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    return scaled(np.stack(column.to_numpy()).astype(np.float64))
 
 
 def _search(classes: DataFrame, queries: DataFrame, coder: Coder, radius: int, k: int, shards: int, blocks: int) -> DataFrame:
@@ -188,7 +195,7 @@ def nearest(
 
     picked = classes.orderBy(F.xxhash64("vector", F.lit(SEED)), "ids").limit(sample_rows).select("vector").toArrow()
     flat = picked.column("vector").combine_chunks().flatten().to_numpy()
-    sample = flat.reshape(-1, common["d"])
+    sample = scaled(flat.reshape(-1, common["d"]))
     coder = fit_coder(sample, bits)
     shards = max(1, -(-classes.count() // shard))
     blocks = max(1, -(-queries.count() // block))

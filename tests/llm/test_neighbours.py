@@ -84,3 +84,14 @@ def test_few_rows_and_empty_tables(spark):
     assert lists(neighbours.nearest(table(spark, rows), F.col("vec_id") > 5)) == {}
     empty = neighbours.nearest(table(spark, rows).where("false"), F.col("vec_id") == 0)
     assert empty.columns == ["query_id", "rank", "vec_id", "score"] and empty.collect() == []
+
+
+def test_lengths_of_vectors_do_not_matter(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 16))
+    whole = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = lists(neighbours.nearest(whole, F.col("vec_id") % 10 == 0))
+    for powers in ([664] * 120, [-664] * 120, [(-900, 0, 900)[i % 3] for i in range(120)]):
+        rows = [(i, (v * 2.0**p).tolist()) for i, (v, p) in enumerate(zip(x, powers))]
+        moved = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert lists(neighbours.nearest(moved, F.col("vec_id") % 10 == 0)) == want
