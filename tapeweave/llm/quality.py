@@ -5,21 +5,23 @@ boundary marks, and its pairs of neighbouring words. Each of these is hashed to
 learned vectors; the document is their average, and a softmax over it gives the class. Vectors
 and output weights are fitted together by stochastic gradient descent in numpy.
 
-The fit uses a bounded sample of labelled rows: the ``rows`` documents with the smallest hash of
-their id among those of at most ``max_chars`` characters. Only their hashed feature counts reach
-the driver, ``rows * BUCKETS`` numbers at the very most and a few tens of megabytes in practice.
+The fit uses a bounded sample of labelled rows: the ``rows`` pairs of id and text with the smallest
+hash of their id among those of at most ``max_chars`` characters. Their hashed feature counts, four
+bytes for a feature and a few tens of megabytes in all, meet in one task that trains; the driver
+gets the finished model, one number a bucket.
 Scoring covers every row and whole texts. As averaging and the output are linear, each bucket
 contributes one number to the log-odds, and each distinct word is hashed once per worker while it
 stays in a bounded cache.
 
 Defined results: a null text counts as empty and an empty one gets the prior's score; rows without a
-label, or with a null or other label than 0 and 1, teach nothing; repeated rows and ids weigh as
-often as they come; without any label the score is 0.5 everywhere, with one class near it; an empty
+label, or with a null or other label than 0 and 1, teach nothing; a repeated row teaches once, an id
+with several texts once with each; without any label the score is 0.5 everywhere, with one class near it; an empty
 table gives no rows; further columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -181,24 +183,37 @@ class Scorer:
         return float(1 / (1 + np.exp(-self.model.odds(total, n))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, how: Training, id_col: str, text_col: str, label_col: str, usable: Column):
-    """Feature counts and labels of the bounded training sample, as an Arrow table on the driver."""
+def sample(docs: DataFrame, labels: DataFrame, how: Training, id_col: str, text_col: str, label_col: str, usable: Column) -> DataFrame:
+    """(label, text) of the training sample: ``how.rows`` pairs of id and text at the most."""
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marked = marked.groupBy("doc_id").agg(F.min("label").alias("label"))
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    short = source.where(F.length("text") <= how.max_chars).select("doc_id").where(usable)
-    chosen = short.join(marked, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id").limit(how.rows)
-    fields = [T.StructField("label", T.IntegerType())] + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("at", "times")]
+    source = source.where(F.length("text") <= how.max_chars).withColumn("h", F.xxhash64("text"))
+    once = source.select("doc_id", "h").where(usable).distinct().join(marked, "doc_id")
+    chosen = once.orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id", "h").limit(how.rows)
+    # bound: how.rows rows; copies of a row are one again behind the join
+    texts = source.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    return texts.select("label", "text")
+
+
+def small_ints(values: np.ndarray) -> bytes:
+    return values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def ints(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
+def features(texts: DataFrame) -> DataFrame:
+    """(label, at, times): feature counts as packed integers, two bytes each (four where a count needs them)."""
 
     def run(batches):
         for batch in batches:
             bags = [counts(t.as_py()) for t in batch.column(1)]
-            arrays = [pa.array([b[k] for b in bags], type=pa.list_(pa.int32())) for k in (0, 1)]
+            arrays = [pa.array([small_ints(b[k]) for b in bags], type=pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *arrays], names=["label", "at", "times"])
 
-    # bound: how.rows ids
-    texts = source.where(F.length("text") <= how.max_chars).join(F.broadcast(chosen), "doc_id")
-    return texts.select("label", "text", F.xxhash64("doc_id").alias("o")).mapInArrow(run, T.StructType(fields)).toArrow()
+    return texts.select("label", "text").mapInArrow(run, T.StructType.fromDDL("label int, at binary, times binary"))
 
 
 @lru_cache(maxsize=1)
@@ -211,13 +226,20 @@ def fit(
     label_col: str = "quality", usable: Column | None = None,
 ) -> Model:
     """Model from the labelled rows for which ``usable``, a condition on ``doc_id``, holds."""
-    table = sample(docs, labels, how, id_col, text_col, label_col, F.lit(True) if usable is None else usable)
-    at, times = (table.column(c).combine_chunks() for c in ("at", "times"))
-    ends, buckets, often = at.offsets.to_numpy(), at.values.to_numpy(), times.values.to_numpy()
-    marks = table.column("label").to_pylist()
-    bags = [(buckets[a:b], often[a:b], y) for a, b, y in zip(ends, ends[1:], marks)]
-    bags.sort(key=lambda b: (b[2], len(b[0]), b[0].tobytes(), b[1].tobytes()))  # the sample's order differs between runs
-    return train(bags, how)
+    texts = sample(docs, labels, how, id_col, text_col, label_col, F.lit(True) if usable is None else usable)
+
+    def run(batches):
+        bags = []
+        for batch in batches:
+            for label, at, times in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                bags.append((ints(at, len(at) // 2), ints(times, len(at) // 2), label))
+        # the sample's order differs between runs
+        bags.sort(key=lambda b: (b[2], len(b[0]), zlib.crc32(b[0].tobytes()), zlib.crc32(b[1].tobytes()), b[0][:16].tobytes()))
+        model = train(bags, how)
+        yield pa.RecordBatch.from_arrays([pa.array([model.parts.tobytes()], pa.binary()), pa.array([model.constant])], names=["parts", "constant"])
+
+    row = features(texts).repartition(1).mapInArrow(run, T.StructType.fromDDL("parts binary, constant double")).first()
+    return train([], how) if row is None else Model(np.frombuffer(row["parts"]), row["constant"])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

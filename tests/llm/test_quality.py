@@ -78,3 +78,17 @@ def test_the_filter_keeps_rows_as_they_are(spark):
     good = {r.doc_id for r in quality.scores(docs, model).collect() if r.score >= quality.THRESHOLD}
     assert kept.schema == docs.schema
     assert sorted(kept.collect()) == sorted(r for r in docs.collect() if r.doc_id in good)
+
+
+def test_the_sample_stays_bounded_when_ids_and_rows_repeat(spark):
+    many = [(1, f"text number {i} " * (1 + i % 3)) for i in range(300)] + [(2, "same text")] * 500 + [(3, "other")]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)] * 40, "doc_id long, quality int")
+    for rows in (10, 100, 1000):
+        how = quality.Training(rows=rows, steps=200)
+        taken = quality.sample(docs, labels, how, "doc_id", "text", "quality", F.lit(True)).collect()
+        assert len(taken) == min(rows, 302)
+    assert sum(r.text == "same text" for r in taken) == 1
+    table = quality.features(spark.createDataFrame([(1, "a b " * 80_000)], "label int, text string")).first()
+    at, times = quality.counts("a b " * 80_000)
+    assert (quality.ints(table["at"], len(at)) == at).all() and (quality.ints(table["times"], len(at)) == times).all()
