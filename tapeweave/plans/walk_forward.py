@@ -117,21 +117,20 @@ def event_walk_forward(
     scaled = prepared_splits(features.select("date", "ticker", *EVENT_MODEL), splits, cfg)
     prepared = cut_lineage(scaled.join(valid, ["date", "ticker"]))
     raw = features.select(F.col("date").alias("decision_date"), "ticker", "close", *GAPS).dropna()
-    acted = None
-    for i in [r.split_index for r in splits.select("split_index").orderBy("split_index").collect()]:
-        one = prepared.filter(F.col("split_index") == i)
-        train = one.filter(F.col("role") == "train").withColumnRenamed("date", "decision_date")
-        outcome = returns.join(raw, ["decision_date", "ticker"]).join(
-            train.select("decision_date", "ticker"), ["decision_date", "ticker"], "left_semi"
-        )
-        rows = train.join(event_labels(outcome, labels), ["decision_date", "ticker"])
-        fitted = fit_classifiers(pooled_training_rows(rows, "valid", "feature_valid"), EVENT_MODEL, model, cfg.seed + i)
-        test = one.filter(F.col("role") == "test").withColumnRenamed("date", "decision_date")
-        scored = predict_probabilities(fitted, test).withColumnRenamed("feature_valid", "tradable")
-        steps = scored.join(returns.select("decision_date", "ticker", "return"), ["decision_date", "ticker"])
-        part = replay(steps.withColumn("portfolio_id", F.lit(f"event_{i}")), policy)
-        acted = part if acted is None else acted.unionByName(part)
-    if acted is None:
-        raise ValueError("No complete walk-forward split.")
+    if splits.isEmpty():
+        raise ValueError("The calendar is too short for a split.")
+    train = prepared.filter(F.col("role") == "train").withColumnRenamed("date", "decision_date")
+    by_split = ("split_index", "ticker")
+    outcome = returns.join(raw, ["decision_date", "ticker"]).join(
+        train.select("split_index", "decision_date", "ticker"), ["decision_date", "ticker"]
+    )
+    rows = train.join(event_labels(outcome, labels, keys=by_split), ["split_index", "decision_date", "ticker"])
+    rows = cut_lineage(pooled_training_rows(rows, "valid", "feature_valid"))
+    fitted = fit_classifiers(rows, EVENT_MODEL, model, cfg.seed, ("split_index",))
+    test = prepared.filter(F.col("role") == "test").withColumnRenamed("date", "decision_date")
+    scored = predict_probabilities(fitted, test).withColumnRenamed("feature_valid", "tradable")
+    steps = scored.join(returns.select("decision_date", "ticker", "return"), ["decision_date", "ticker"])
+    named = F.concat(F.lit("event_"), F.col("split_index").cast("string"))
+    acted = replay(steps.withColumn("portfolio_id", named), policy)
     # a position whose name does not trade on a date is kept, as the replay keeps it
     return evaluate(cut_lineage(acted), returns, benchmark, splits, cfg, strict=False)
