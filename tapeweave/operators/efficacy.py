@@ -1,8 +1,9 @@
 """Feature efficacy: rank and linear correlations, by year, their stability, and partial forms.
 
 A pair is judged on the rows where both of its sides are finite, and ranks are taken on those rows
-alone. So pairs are laid out as rows first, and every pair is one group of the rank kernel:
-whatever is missing elsewhere in a row changes nothing.
+alone: whatever is missing elsewhere in a row changes nothing. Pooled rank forms rank each column once
+per set of rows that its partners leave, and read every pair from one Gram matrix of the ranks. Within
+keys, pairs are laid out as rows and ranked by windows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeweave.functions.groups import with_average_ranks
+from tapeweave.functions.pooled_ranks import gram, pooled_ranks
 from tapeweave.session import cut_lineage
 from tapeweave.sources.schema import finite
 
@@ -52,6 +54,27 @@ def _guarded(x: Column, y: Column, raw_x: str, raw_y: str) -> Column:
     return F.when(usable, F.corr(x, y))
 
 
+def _coefficients(dataset: DataFrame, ranked, pairs: dict, least: int = 3) -> dict:
+    """Correlation of ranks per name of ``pairs`` (two names of ``ranked``); None below ``least`` rows or for a constant side."""
+    products = gram(ranked)
+    out = {}
+    for name, (a, b) in pairs.items():
+        i, j = ranked.of[a], ranked.of[b]
+        spread = products[i, i] * products[j, j]
+        out[name] = float(products[i, j] / np.sqrt(products[i, i]) / np.sqrt(products[j, j])) if ranked.sizes[i] >= least and spread > 0 else None
+    return out
+
+
+def _pooled_spearman(dataset: DataFrame, pairs) -> DataFrame:
+    """Each unordered pair once; a pair of one column with itself like any other."""
+    once = {tuple(sorted(p)) for p in pairs}
+    wanted = {(p, side): (p[side], (p[1 - side],)) for p in once for side in (0, 1)}
+    found = _coefficients(dataset, pooled_ranks(dataset, wanted), {p: ((p, 0), (p, 1)) for p in once})
+    rows = [(f, l, found[tuple(sorted((f, l)))]) for f, l in pairs]
+    out = dataset.sparkSession.createDataFrame(rows, "feature string, label string, correlation double")
+    return out.withColumn("abs_correlation", F.abs("correlation"))
+
+
 def feature_label_correlations(
     dataset: DataFrame, features, labels, method: str = "spearman", keys=(), wide: bool | None = None
 ) -> DataFrame:
@@ -61,6 +84,8 @@ def feature_label_correlations(
     """
     if method not in METHODS:
         raise ValueError(f"Unknown correlation method {method!r}; known: {', '.join(METHODS)}.")
+    if method == "spearman" and not keys and wide is not False:
+        return _pooled_spearman(dataset, [(f, l) for f in features for l in labels])
     by = [*keys, *PAIR]
     df = _pairs(dataset, keys, [(f, l) for f in features for l in labels])
     if method == "spearman":
@@ -102,51 +127,45 @@ def stability(yearly: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def _residual(column: str, n_controls: int, fits: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> Column:
-    """Residual of a rank column on the controls' ranks, with the coefficients of the row's feature."""
-    out = F.lit(None).cast("double")
-    for feature, (mean, means, beta) in fits.items():
-        fitted = sum(((F.col(f"__r_c{i}") - float(means[i])) * float(beta[i]) for i in range(n_controls)), F.lit(0.0))
-        out = F.when(F.col("feature") == feature, F.col(column) - float(mean) - fitted).otherwise(out)
-    return out
-
-
-def partial_spearman(dataset: DataFrame, features, label: str, controls, wide: bool = True) -> DataFrame:
+def partial_spearman(dataset: DataFrame, features, label: str, controls) -> DataFrame:
     """Rank correlation of residual ranks given the controls, per feature; null below ten rows.
 
-    A feature is judged on the rows where it, the label and all controls are finite. One row of rank
-    moments per feature reaches the driver, to solve systems as large as the control list.
+    A feature is judged on the rows where it, the label and all controls are finite. The normal equations of
+    all features come from one Gram matrix; systems as large as the control list are solved on the driver.
     """
-    controls = list(controls)
-    sides = ["x", "y", *[f"c{i}" for i in range(len(controls))]]
-    ranked = _ranked(_pairs(dataset, (), [(f, label) for f in features], controls), PAIR, sides, wide)
-    ranked = cut_lineage(ranked)  # read for the moments and again for the residuals
-    ranks = {s: f"__r_{s}" for s in sides}
-    k = len(controls)
-    cov = lambda a, b: F.covar_pop(ranks[a], ranks[b])
-    moments = ranked.groupBy("feature").agg(
-        F.count("x").alias("n"), F.array(*[F.avg(ranks[s]) for s in sides]).alias("m"),
-        F.array(*[cov(a, b) for a in sides[2:] for b in sides]).alias("v"),
-    ).collect()
-    fits = {"x": {}, "y": {}}
-    for row in moments:
-        if row.n < 10:
+    features, controls = list(features), list(controls)
+    wanted = {}
+    for f in features:
+        beside = (f, label, *controls)
+        wanted |= {(f, side): (c, beside) for side, c in [("x", f), ("y", label), *enumerate(controls)]}
+    ranked = pooled_ranks(dataset, wanted)
+    products = gram(ranked)
+    left, sides = [], {}
+    for k, f in enumerate(features):
+        own = [ranked.of[(f, i)] for i in range(len(controls))]
+        if ranked.sizes[ranked.of[(f, "x")]] < 10:
             continue
-        block = np.array(row.v, dtype=float).reshape(k, k + 2)
-        for i, side in enumerate(("x", "y")):
-            beta = np.linalg.lstsq(block[:, 2:], block[:, i], rcond=None)[0]
-            fits[side][row.feature] = (row.m[i], np.array(row.m[2:]), beta)
-    left = ranked.select(*PAIR, *[_residual(ranks[s], k, fits[s]).alias(s) for s in ("x", "y")])
-    left = _ranked(left, PAIR, ("x", "y"), wide)
-    out = left.groupBy(*PAIR).agg(_guarded(F.col("__r_x"), F.col("__r_y"), "x", "y").alias("partial_spearman"))
-    return out
-
-
-def raw_versus_partial(dataset: DataFrame, features, label: str, controls, wide: bool = True) -> DataFrame:
+        for side in ("x", "y"):
+            at = ranked.of[(f, side)]
+            beta = np.linalg.lstsq(products[np.ix_(own, own)], products[own, at], rcond=None)[0]
+            mean = (ranked.sizes[at] + 1) / 2
+            fitted = sum(((F.col(f"r{c}") - mean) * float(w) for c, w in zip(own, beta)), F.lit(0.0))
+            sides[(f, side)] = f"{side}{k}"
+            left.append((F.col(f"r{at}") - mean - fitted).alias(f"{side}{k}"))
+    found = {}
+    if left:
+        other = {"x": "y", "y": "x"}
+        again = pooled_ranks(ranked.table.select(*left), {(f, s): (c, (sides[(f, other[s])],)) for (f, s), c in sides.items()})
+        found = _coefficients(dataset, again, {f: ((f, "x"), (f, "y")) for f in features if (f, "x") in sides})
+    rows = [(f, label, found.get(f)) for f in features]
+    return dataset.sparkSession.createDataFrame(rows, "feature string, label string, partial_spearman double")
+
+
+def raw_versus_partial(dataset: DataFrame, features, label: str, controls) -> DataFrame:
     """Raw and partial rank correlation and how much the controls take away."""
-    raw = feature_label_correlations(dataset, features, [label], wide=wide)
+    raw = feature_label_correlations(dataset, features, [label])
     both = raw.select("feature", "label", F.col("correlation").alias("raw_spearman")).join(
-        partial_spearman(dataset, features, label, controls, wide), ["feature", "label"]
+        partial_spearman(dataset, features, label, controls), ["feature", "label"]
     )
     return both.withColumn("abs_drop", F.abs("raw_spearman") - F.abs("partial_spearman"))
 
