@@ -203,9 +203,9 @@ add(
 
 @case(
     "a14_desk_errors",
-    """SELECT o_custkey::VARCHAR AS ticker, CASE WHEN count(*) < 20 THEN 'At least 20 completed bars are required; received ' || count(*) || '.'
-  WHEN min(o_totalprice) - 2000 <= 0 THEN 'OHLC prices must be positive.'
-  WHEN bool_or(o_orderkey % 5 = 0) THEN 'OHLC bar geometry is invalid.' END AS error
+    """SELECT o_custkey::VARCHAR AS ticker, CASE WHEN count(*) < 20 THEN count(*) || ' bars are complete, 20 are needed.'
+  WHEN min(o_totalprice) - 2000 <= 0 THEN 'A price is zero or less.'
+  WHEN bool_or(o_orderkey % 5 = 0) THEN 'A bar''s low and high don''t enclose its open and close.' END AS error
 FROM orders GROUP BY 1 HAVING error IS NOT NULL""",
 )
 def _desk_errors(s, sf):

@@ -201,8 +201,8 @@ add(
     "r17_scan_with_errors",
     lambda s, sf: scan_bars(bars(s, sf).filter("NOT (ticker = 'Brand#7' AND year(date) > 1995)").withColumn("low", F.when((F.col("ticker") == "Brand#9") & (F.year("date") == 1999), -1.0).otherwise(F.col("low")))).select("ticker", sig("momentum_21d"), "error"),
     desk_sql(
-        f"""SELECT ticker, CASE WHEN ticker NOT IN ('Brand#7', 'Brand#9') THEN {sig_sql('momentum_21d', 'm').rsplit(' AS ', 1)[0]} END AS momentum_21d, CASE WHEN ticker = 'Brand#9' THEN 'OHLC prices must be positive.'
-  WHEN ticker = 'Brand#7' THEN 'At least 256 completed bars are required; received ' || (SELECT count(*) FROM bars WHERE ticker = 'Brand#7' AND year(date) = 1995) || '.' END AS error FROM lastrow""",
+        f"""SELECT ticker, CASE WHEN ticker NOT IN ('Brand#7', 'Brand#9') THEN {sig_sql('momentum_21d', 'm').rsplit(' AS ', 1)[0]} END AS momentum_21d, CASE WHEN ticker = 'Brand#9' THEN 'A price is zero or less.'
+  WHEN ticker = 'Brand#7' THEN (SELECT count(*) FROM bars WHERE ticker = 'Brand#7' AND year(date) = 1995) || ' bars are complete, 256 are needed.' END AS error FROM lastrow""",
         LAST,
     ),
 )

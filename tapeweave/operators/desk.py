@@ -364,7 +364,7 @@ def with_state(rows: DataFrame, cfg: DeskConfig) -> DataFrame:
             "bearish_scenario": scenario("bearish", cfg),
             "error": F.when(
                 first_missing.isNotNull(),
-                F.concat(F.lit("Latest "), first_missing, F.lit(" is not finite; increase the history period.")),
+                F.concat(F.lit("The last bar has no number for "), first_missing, F.lit("; longer history may give one.")),
             ),
         }
     )

@@ -47,7 +47,7 @@ def input_fingerprint(*tables: DataFrame) -> str:
 def _plain(value):
     if isinstance(value, (date, datetime)):
         return value.isoformat()
-    raise TypeError(f"Unsupported metadata value: {type(value)!r}")
+    raise TypeError(f"A {type(value).__name__} cannot stand in the metadata.")
 
 
 def run_metadata(tables, config, decision_dates: DataFrame) -> dict:

@@ -36,7 +36,7 @@ def _or_zero(num: Column, den: Column) -> Column:
 def performance(periods: DataFrame, periods_per_year: int, keys=("portfolio_id",)) -> DataFrame:
     """The 14 metrics per key. A zero denominator gives 0."""
     if periods_per_year <= 0:
-        raise ValueError("periods_per_year must be positive.")
+        raise ValueError(f"A year cannot hold {periods_per_year} periods.")
     p, root = float(periods_per_year), math.sqrt(periods_per_year)
     for name in ("turnover", "transaction_cost"):
         if name not in periods.columns:

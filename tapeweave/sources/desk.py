@@ -45,14 +45,14 @@ def history_errors(bars: DataFrame, tickers: DataFrame | None = None, cfg: DeskC
         facts = tickers.select("ticker").distinct().join(facts, "ticker", "left")
     need = cfg.minimum_bars
     error = (
-        F.when(F.col("bars").isNull(), F.lit("OHLCV history is empty."))
+        F.when(F.col("bars").isNull(), F.lit("No bar is there."))
         .when(
             F.col("bars") < need,
-            F.format_string(f"At least {need} completed bars are required; received %d.", F.col("bars")),
+            F.format_string(f"%d bars are complete, {need} are needed.", F.col("bars")),
         )
-        .when(F.col("bad_price"), F.lit("OHLC prices must be positive."))
-        .when(F.col("bad_volume"), F.lit("Volume cannot be negative."))
-        .when(F.col("bad_geometry"), F.lit("OHLC bar geometry is invalid."))
+        .when(F.col("bad_price"), F.lit("A price is zero or less."))
+        .when(F.col("bad_volume"), F.lit("A volume is less than zero."))
+        .when(F.col("bad_geometry"), F.lit("A bar's low and high don't enclose its open and close."))
     )
     return facts.select("ticker", error.alias("error")).filter(F.col("error").isNotNull())
 
