@@ -12,6 +12,13 @@ Sets with the fewest shingles of their own, the middle of a group, come first, a
 that no other can be similar leave. The key is done when one component is left in it. So no pair is
 lost, and a large group of near copies is not written out as all its pairs.
 
+What one round leaves of the crowded keys, copies changed too much to be linked to a group's middle and
+texts that merely share passages, is keyed anew: a set's shingles are ordered from the rarest to the most
+frequent, and the set goes under each of those that can be the first one shared with a similar set. Two
+sets of n and m shingles, the first shared one at places i and j, share min(n - i, m - j) at most, and
+similar ones share 4/9 (n + m); so shingles of a group's middle no longer bring together its changed
+copies. The rounds go on over these keys, with the place of the shingle for the number of own ones.
+
 Words are maximal runs without ASCII white space, with A-Z lowered; a text of fewer than five words has
 one shingle, the whole sequence. Shingles stand as 64-bit hashes.
 
@@ -141,7 +148,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _alive(rows: DataFrame) -> DataFrame:
     """(band, members): keys that still join components, with the sets that can be similar to another, common ones first.
 
-    Sets of n shingles, u of them found nowhere else, share at most the smaller n - u; similar ones share 4/9 of both n.
+    Sets of n shingles, u of them not shared under the key, share at most the smaller n - u; similar ones share 4/9 of both n.
     """
     lists = rows.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("u", "n", "key", "root"))).alias("members"))
     least = lists.select("band", "members", F.expr("array_min(members.n)").alias("least"))
@@ -149,6 +156,19 @@ def _alive(rows: DataFrame) -> DataFrame:
     return cut_lineage(able.where("size(array_distinct(members.root)) > 1"))
 
 
+def _by_rarest(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, u, n, key): the sets of ``rest`` under all shingles that can be the rarest that they share with a similar set.
+
+    u shingles are rarer. Similar sets share 4/5 of the larger one's n shingles, so n / 5 are rarer at most.
+    """
+    grams = sets.join(rest.select("key").distinct(), "key", "left_semi").select("key", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(counts, "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    ranked = ranked.withColumn("n", F.size("grams"))
+    places = ranked.select("n", "key", F.posexplode(F.expr("slice(grams, 1, n - (4 * n + 4) div 5 + 1)")).alias("u", "g"))
+    return places.where("g.df > 1").select(F.col("g.gram").alias("band"), "u", "n", "key")
+
+
 def linked(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """(node, root) of the sets that are linked to others."""
     classes = rows.where("keys IS NOT NULL").dropDuplicates(["key"])
@@ -172,10 +192,12 @@ def linked(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
         pairs = heads.select(F.col("head.key").alias("a"), F.explode(F.expr(later)).alias("b")).distinct()
         links = cut_lineage(links.unionByName(_similar(pairs, sets)))
         rest = bands.select("band", F.explode(F.slice("members", first + 1, 1 << 30)).alias("m")).select("band", "m.u", "m.n", "m.key")
+        first *= MORE
+        if roots is None:
+            rest, first = _by_rarest(rest, sets), FIRST
         roots = components(links, "a", "b")
         rest = rest.join(roots.withColumnRenamed("node", "key"), "key", "left")
         bands = _alive(rest.withColumn("root", F.coalesce("root", "key")))
-        first *= MORE
     return components(links, "a", "b") if roots is None else roots
 
 
