@@ -43,6 +43,7 @@ SMALL = 8
 FIRST, MORE = 4, 16  # sets held against the later ones in the first round, and how many times as many in the next
 SEED = 42
 SLICE = 1 << 10  # shingles whose MinHash values are held at a time
+TASK_LINKS = 1 << 16  # links that one task of a step of components writes
 SPREAD = 64  # parts that the pairs of one set are dealt to
 
 _odd = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -195,10 +196,10 @@ def linked(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
         first *= MORE
         if roots is None:
             rest, first = _by_rarest(rest, sets), FIRST
-        roots = components(links, "a", "b")
+        roots = components(links, "a", "b", TASK_LINKS)
         rest = rest.join(roots.withColumnRenamed("node", "key"), "key", "left")
         bands = _alive(rest.withColumn("root", F.coalesce("root", "key")))
-    return components(links, "a", "b") if roots is None else roots
+    return components(links, "a", "b", TASK_LINKS) if roots is None else roots
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
