@@ -8,7 +8,7 @@ from gate.base import BARS, BENCH, MACRO, RETURNS, WEEKLY, add, bars, macro, sig
 from gate.market import MARKET_RETURNS, market_returns, returns, weekly
 from gate.transform import split_table, splits_sql
 from tapeweave.config import LedgerConfig, PolicyConfig, RewardConfig
-from tapeweave.operators import covariance, ledger, metrics, policy, reporting, splits, weights
+from tapeweave.operators import covariance, ledger, metrics, policy, policy_sweep, reporting, splits, weights
 
 RAW_SCORE = "(open - floor(open / 97) * 97) / 97"
 BASE = [BARS, BENCH, WEEKLY, RETURNS, MARKET_RETURNS]
@@ -225,6 +225,48 @@ add(
 )
 
 
+#: Settings of the sweep: buy, hold and sell threshold, entry weight, positions.
+SETTINGS = {
+    f"{buy}-{sell}-{slots}": PolicyConfig(
+        buy_threshold=buy, hold_threshold=0.25, sell_threshold=sell, entry_weight=entry, max_positions=slots, max_position_weight=0.2
+    )
+    for buy in (0.4, 0.55, 0.7)
+    for sell, slots, entry in ((0.8, 8, 0.07), (0.9, 4, 0.15))
+}
+
+
+def swept(s, sf):
+    """Every week's actions and book under every setting, in two blocks of settings."""
+    rows = probabilities(s, sf).withColumn("portfolio_id", F.lit("one"))
+    return policy_sweep.sweep(rows, SETTINGS, block=4)
+
+
+def _for_every_setting(sql: str) -> str:
+    """The statement of the replay, with thresholds from the table of settings."""
+    for fixed, column in (("p_sell >= 0.8", "p_sell >= sell_at"), ("p_hold < 0.25", "p_hold < hold_at"), ("p_buy >= 0.5", "p_buy >= buy_at"), ("0.07", "entry"), ("8 - kept", "slots - kept")):
+        assert fixed in sql
+        sql = sql.replace(fixed, column)
+    sql = sql.replace("FROM gk UNION ALL", "FROM st UNION ALL").replace("'shift_' || k AS p", "p")
+    sql = sql.replace("x FULL JOIN h ON h.p = x.p AND h.ticker = x.ticker)", "x FULL JOIN h ON h.p = x.p AND h.ticker = x.ticker JOIN st ON st.p = coalesce(h.p, x.p))")
+    sql = sql.replace("coalesce(r, 0) AS r, p_buy,", "coalesce(r, 0) AS r, p_buy, entry, slots,")
+    return sql.replace("entry * count(*) FILTER (got) OVER (PARTITION BY p)", "any_value(entry) OVER (PARTITION BY p) * count(*) FILTER (got) OVER (PARTITION BY p)")
+
+
+SWEPT_DAYS = """gd AS (SELECT decision_date, row_number() OVER (ORDER BY decision_date) AS i FROM (SELECT DISTINCT decision_date FROM probs)),
+st AS (SELECT * FROM (VALUES {}) AS t(p, buy_at, hold_at, sell_at, entry, slots)),
+gp AS (SELECT p, i, pb.ticker, p_buy, p_hold, p_sell, tradable, ret AS r
+    FROM probs pb JOIN gd USING (decision_date) JOIN returns r ON r.decision_date = pb.decision_date AND r.ticker = pb.ticker, st
+  UNION ALL SELECT p, i, 'CASH', NULL, NULL, NULL, NULL, 0 FROM gd, st)""".format(
+    ", ".join(f"('{n}', {c.buy_threshold}::DOUBLE, {c.hold_threshold}::DOUBLE, {c.sell_threshold}::DOUBLE, {c.entry_weight}::DOUBLE, {c.max_positions})" for n, c in SETTINGS.items())
+)
+add(
+    "k13_policy_sweep",
+    lambda s, sf: swept(s, sf).select("setting", "decision_date", "ticker", "action", sig("weight")),
+    with_sql(*BASE, PROBS, SWEPT_DAYS, _for_every_setting(REPLAYED), recursive=True)
+    + f"\nSELECT p AS setting, decision_date, ticker, action, {sig_sql('w', 'weight')} FROM rp JOIN gd USING (i)",
+)
+
+
 def action_rows(s, sf):
     return policy.decide(holdings(s, sf), probabilities(s, sf), GATE).filter("ticker <> 'CASH'").select("decision_date", "ticker", "action")
 

@@ -40,20 +40,21 @@ def stream_portfolios(
     new_state: Callable[[], object],
     step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]],
     schema: str,
-    portfolio: str = "portfolio_id",
+    portfolio: str | tuple[str, ...] = "portfolio_id",
     date: str = "decision_date",
     name: str = "ticker",
 ) -> DataFrame:
-    """Apply ``step(state, one date's rows) -> (state, output rows)`` along every portfolio."""
+    """Apply ``step(state, one date's rows) -> (state, output rows)`` along every portfolio (one column or several)."""
+    path = [portfolio] if isinstance(portfolio, str) else list(portfolio)
 
     def run(batches):
         state, current = None, None
-        for key, day in consecutive(batches, [portfolio, date]):
-            if key[0] != current:
-                state, current = new_state(), key[0]
+        for key, day in consecutive(batches, [*path, date]):
+            if key[:-1] != current:
+                state, current = new_state(), key[:-1]
             state, out = step(state, day)
-            if len(out):
+            if out is not None and len(out):
                 yield out
 
-    ordered = rows.repartition(portfolio).sortWithinPartitions(portfolio, date, name)
+    ordered = rows.repartition(*path).sortWithinPartitions(*path, date, name)
     return ordered.mapInPandas(run, schema)
