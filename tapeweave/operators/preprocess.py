@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeweave.config import PreprocessConfig, Transform
-from tapeweave.functions.windows import Series, present_in
+from tapeweave.functions.blocks import Trailing, with_trailing
+from tapeweave.functions.windows import Series
 from tapeweave.operators.routing import RANK_SUFFIX
 from tapeweave.sources.schema import finite
 
@@ -72,24 +73,36 @@ def preprocess(
     df = df.withColumns(
         {f"__f_{n}": filled(n, s, cfg, specs.get(n)) for n in (*plan.scaled, *plan.clipped)}
     ) if plan.scaled or plan.clipped else df
+    if cfg.scale:
+        df = _with_statistics(df, plan.scaled, s, cfg, specs)
     out = [F.col(i) for i in ids]
-    out += [(_zscore(n, s, cfg, specs.get(n)) if cfg.scale else F.col(f"__f_{n}")).alias(n) for n in plan.scaled]
+    out += [(_zscore(n) if cfg.scale else F.col(f"__f_{n}")).alias(n) for n in plan.scaled]
     out += [F.col(f"__f_{n}").alias(n) for n in plan.clipped]
     return df.select(*out, *plan.untouched, *keep)
 
 
-def _zscore(name: str, s: Series, cfg: PreprocessConfig, spec: Transform | None) -> Column:
-    """(x - mean) / std over the trailing window, 0 without a usable spread.
+def _with_statistics(df: DataFrame, names, s: Series, cfg: PreprocessConfig, specs) -> DataFrame:
+    """Mean and spread of every column's trailing window; columns with windows of one length share them.
 
     A lagged z-score takes its statistics from the rows before the current one, inside the series.
     """
-    n = spec.rolling_periods if spec and spec.rolling_periods else cfg.rolling_window
-    least = spec.min_periods if spec else 2
-    lagged = spec is not None and spec.transform == "lagged_rolling_zscore"
-    window = s.before(n) if lagged else s.last_n(n)
-    x = f"__f_{name}"
-    spread = present_in(window, F.stddev_samp, x, max(least, 2))
-    score = F.try_divide(F.col(x) - F.avg(x).over(window), spread)
+    windows: dict[tuple[int, bool], list[Trailing]] = {}
+    for name in names:
+        spec = specs.get(name)
+        n = spec.rolling_periods if spec and spec.rolling_periods else cfg.rolling_window
+        lagged = spec is not None and spec.transform == "lagged_rolling_zscore"
+        least, x = spec.min_periods if spec else 2, f"__f_{name}"
+        windows.setdefault((n, lagged), []).extend(
+            [Trailing(f"__mean_{name}", "avg", x), Trailing(f"__spread_{name}", "stddev_samp", x, max(least, 2))]
+        )
+    for (n, lagged), asked in windows.items():
+        df = with_trailing(df, s, n, *asked, lagged=lagged)
+    return df
+
+
+def _zscore(name: str) -> Column:
+    """(x - mean) / std over the trailing window, 0 without a usable spread."""
+    score = F.try_divide(F.col(f"__f_{name}") - F.col(f"__mean_{name}"), F.col(f"__spread_{name}"))
     return F.coalesce(score, F.lit(0.0))
 
 

@@ -13,12 +13,13 @@ START = dt.date(2000, 1, 1)
 
 @pytest.fixture(scope="module")
 def series(spark):
-    """Four series: noise with nulls and equal values, huge and tiny values, one bar, nulls alone."""
+    """Noise with nulls and equal values, huge and tiny values, one value, one bar, nulls alone."""
     rng, rows = np.random.default_rng(2), []
     for i in range(700):
         rows.append(("noise", START + dt.timedelta(i), None if i % 11 == 3 else float(rng.integers(0, 40)) / 7))
         rows.append(("sizes", START + dt.timedelta(i), float(rng.normal()) * 10.0 ** (12 if i % 90 == 0 else -3)))
         rows.append(("empty", START + dt.timedelta(i), None))
+        rows.append(("level", START + dt.timedelta(i), 0.1))
     rows.append(("short", START, 5.0))
     return Series("ticker").number(spark.createDataFrame(rows, "ticker string, date date, x double"))
 
@@ -34,7 +35,7 @@ def test_blocks_equal_frames(series, n, lagged):
     plain["f_count"] = F.when(F.count("x").over(frame) >= least, F.count("x").over(frame))
     plain["f_first_max"] = F.when(F.count("x").over(frame) >= least, first_max_position("x", POSITION, frame))
     got = out.withColumns(plain).toPandas()
-    assert len(got) == 2101
+    assert len(got) == 2801
     for k in KINDS:
         a, b = got[k].to_numpy(dtype=float), got[f"f_{k}"].to_numpy(dtype=float)
         if k in ("min", "max", "count", "first_max"):
@@ -44,6 +45,8 @@ def test_blocks_equal_frames(series, n, lagged):
             size = got.x.abs().groupby(got.ticker).transform("max").fillna(1).clip(lower=1).to_numpy() ** (2 if k == "var_samp" else 1)
             np.testing.assert_array_equal(np.isnan(a), np.isnan(b), err_msg=k)
             here = ~np.isnan(a)
+            if k in ("var_samp", "stddev_samp"):
+                assert not a[here & (got.ticker == "level").to_numpy()].any()
             assert (np.abs(a - b)[here] <= 1e-12 * n * size[here]).all(), k
 
 
