@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tapeweave.llm.common import cut_lineage, text_or_empty
-from tapeweave.llm.components import components
+from tapeweave.llm.components import LEAST_TASKS, components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -146,6 +146,12 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.where("5 * met >= 4 * (n - met)").select("a", "b")
 
 
+def _and(links: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``links`` and the similar ones of ``pairs``, in as many tasks as the links need, not as many more each round."""
+    every = links.unionByName(cut_lineage(_similar(pairs, sets)))
+    return every.coalesce(LEAST_TASKS + every.count() // TASK_LINKS)
+
+
 def _alive(rows: DataFrame) -> DataFrame:
     """(band, members): keys that still join components, with the sets that can be similar to another, common ones first.
 
@@ -191,7 +197,7 @@ def linked(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
         later = """transform(filter(slice(members, at + 2, size(members)), m -> m.root <> head.root
             AND 9 * least(m.n - m.u, head.n - head.u) >= 4 * (m.n + head.n)), m -> m.key)"""
         pairs = heads.select(F.col("head.key").alias("a"), F.explode(F.expr(later)).alias("b")).distinct()
-        links = cut_lineage(links.unionByName(_similar(pairs, sets)))
+        links = _and(links, pairs, sets)
         rest = bands.select("band", F.explode(F.slice("members", first + 1, 1 << 30)).alias("m")).select("band", "m.u", "m.n", "m.key")
         first *= MORE
         if roots is None:
