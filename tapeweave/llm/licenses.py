@@ -123,9 +123,98 @@ NOTICES = (
     ("as-is", r"provided as is without warrant(?:y|ies)", "as is", 35),
 )
 
+#: "licensed under the", "released under", "made available to you under the terms of the"
+_UNDER = (
+    r"(?:(?:dual |tri )?(?:re)?licen[cs]ed|released|distributed|published|available|provided|offered|shared|open ?sourced)"
+    r" (?:\w{1,12} ){0,2}?under (?:the )?(?:terms of (?:the )?)?(?:an? )?"
+)
+_OR_LATER = r"(?: only| or (?:any )?(?:later|newer|greater|above)(?: versions?)?)?"
+
+#: Short forms that people write instead of a license's name: (label, expression, keyword, priority).
+SHORT = (
+    ("gpl", rf"{_UNDER}(?:gnu )?gpl(?: ?v ?\d| ver(?:sion)? \d| \d)?(?: 0)?{_OR_LATER}", "gpl", 78),
+    ("gpl", rf"(?:gnu )?gpl(?: ?v ?[123]| ver(?:sion)? [123]| [123])(?: 0)?{_OR_LATER}", "gpl", 48),
+    ("gpl", r"gnu gpl", "gnu gpl", 44),
+    ("gpl", r"gpl licen[cs]ed?", "gpl licen", 44),
+    ("lgpl", rf"{_UNDER}(?:gnu )?lgpl(?: ?v ?\d| ver(?:sion)? \d| \d)?(?: [01])?{_OR_LATER}", "lgpl", 78),
+    ("lgpl", rf"(?:gnu )?lgpl(?: ?v ?[23]| ver(?:sion)? [23]| [23])(?: [01])?{_OR_LATER}", "lgpl", 48),
+    ("lgpl", r"gnu lgpl", "gnu lgpl", 44),
+    ("agpl", rf"{_UNDER}(?:gnu )?agpl(?: ?v ?3| version 3| 3)?(?: 0)?{_OR_LATER}", "agpl", 78),
+    ("agpl", rf"(?:gnu )?agpl(?: ?v ?[13]| version [13]| [13])(?: 0)?{_OR_LATER}", "agpl", 48),
+    ("fdl", rf"(?:gnu fdl|gfdl)(?: ?v? ?1 [0123])?{_OR_LATER}", "fdl", 46),
+    ("mit", rf"{_UNDER}mit(?: x11| expat)?", " mit ", 76),
+    ("mit", r"mit licen[cs]ed", "mit licen", 48),
+    ("apache", rf"{_UNDER}apache(?: ?v? ?2)?(?: 0)?(?: licen[cs]e)?", "apache", 77),
+    ("apache", r"apache (?:v ?|version )?2 0(?: licen[cs]ed?)?(?! (?:web |http |httpd )?server)", "apache", 46),
+    ("apache", r"apache ?v2(?: 0)?(?: licen[cs]ed?)?", "apache", 46),
+    ("apache", r"apache licen[cs]ed", "apache licen", 46),
+    ("apache", r"asl ?v?2 0", " asl", 42),
+    ("bsd", rf"{_UNDER}(?:new |modified |simplified |revised |(?:[0234]|two|three|four) clause )?bsd(?: [0234] clause)?", "bsd", 76),
+    ("bsd", r"bsd [0234] clause", "bsd", 48),
+    ("bsd", r"(?:[0234]|two|three|four) clause bsd", "clause bsd", 48),
+    ("bsd", r"bsd licen[cs]ed", "bsd licen", 46),
+    ("bsd", r"0bsd", "0bsd", 46),
+    ("mpl", rf"{_UNDER}mpl(?: ?v? ?[12])?(?: [01])?", "mpl", 76),
+    ("mpl", r"mpl (?:v ?|version )?(?:1 [01]|2 0)", "mpl", 46),
+    ("mpl", r"mplv[12](?: [01])?", "mplv", 46),
+    ("epl", rf"{_UNDER}epl(?: ?v? ?[12])?(?: 0)?", " epl", 72),
+    ("epl", r"epl ?v[12](?: 0)?", " epl", 44),
+    ("cddl", r"cddl(?: ?v? ?1(?: [01])?)?", "cddl", 44),
+    ("eupl", r"eupl(?: ?v? ?1 [012])?", "eupl", 44),
+    ("isc", rf"{_UNDER}isc", " isc ", 74),
+    ("zlib", rf"{_UNDER}zlib(?: libpng)?", "zlib", 74),
+    ("boost", rf"{_UNDER}boost(?: 1 0)?", "boost", 72),
+    ("busl", r"bsl ?v?1 1", " bsl", 42),
+    ("busl", r"busl ?v?1 1", "busl", 46),
+    ("artistic", r"artistic (?:v ?|version )?2 0", "artistic", 44),
+    ("artistic", r"under the same terms as perl(?: itself| 5)?", "same terms as perl", 72),
+    ("ruby", r"under the same terms as ruby(?: itself)?", "same terms as ruby", 72),
+    ("psf", r"psf licen[cs]e", "psf licen", 46),
+    ("unlicense", rf"{_UNDER}unlicen[cs]e", "unlicen", 76),
+    ("wtfpl", r"wtfpl(?: ?v? ?[12])?", "wtfpl", 46),
+    ("ofl", r"(?:sil )?ofl(?: ?v? ?1 [01])", " ofl", 46),
+    ("ofl", r"sil ofl", "sil ofl", 44),
+    ("odbl", r"odbl(?: ?v? ?1 0)?", "odbl", 44),
+    ("pddl", r"pddl(?: ?v? ?1 0)?", "pddl", 44),
+    ("ogl", r"ogl(?: uk)? v ?[123](?: 0)?", " ogl", 44),
+    ("cecill", r"cecill (?:[abc]|[12](?: [01])?)", "cecill", 44),
+    ("ms-pl", rf"{_UNDER}ms pl", "ms pl", 74),
+    ("sspl", r"sspl(?: ?v? ?1)?(?: 0)?", "sspl", 44),
+    ("lppl", r"latex project public licen[cs]e(?: version)?(?: 1 [123]\w?)?", "latex project", 50),
+    ("lppl", r"lppl(?: ?v? ?1 [123]\w?)?", "lppl", 44),
+    ("cc0", rf"{_UNDER}cc0(?: 1 0)?", "cc0", 78),
+)
+
+#: Sentences that files carry instead of a license's name: (label, expression, keyword, priority).
+_FREE = r"(?:this \w{1,20}|it) is free software you can redistribute it and or modify it under the terms of the gnu"
+HEADERS = (
+    ("gpl", rf"{_FREE} general public licen[cs]e", "redistribute it and or modify it", 92),
+    ("lgpl", rf"{_FREE} (?:lesser|library) general public licen[cs]e", "redistribute it and or modify it", 92),
+    ("agpl", rf"{_FREE} affero general public licen[cs]e", "redistribute it and or modify it", 92),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", "should have received a copy", 72),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", "should have received a copy", 72),
+    ("agpl", r"you should have received a copy of the gnu affero general public licen[cs]e", "should have received a copy", 72),
+    ("apache", r"you may not use this file except in compliance with the licen[cs]e", "except in compliance with", 86),
+    ("apache", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e", "required by applicable law", 62),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public licen[cs]e", "source code form", 92),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies", "this permission notice", 84),
+    ("mit", r"use of this source code is governed by an mit style licen[cs]e", "mit style", 88),
+    ("bsd", r"use of this source code is governed by a bsd style licen[cs]e", "bsd style", 88),
+    ("bsd", r"neither the names? of (?:\w{1,30} ){1,12}?nor the names of (?:its|their|any) contributors may be used to endorse", "contributors may be used to endorse", 84),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source code", 82),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form", 82),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "with or without fee", 87),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "in no event will the authors", 84),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 90),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "accompanying materials", 92),
+    ("cc0", r"to the extent possible under law(?: \w{1,30}){1,12}? (?:has|have) waived all copyright and related", "waived all copyright", 88),
+    ("reserved", r"no part of this (?:publication|work|book|document|website|article|report) may be", "no part of this", 62),
+    ("reserved", r"all rights not expressly granted(?: \w{1,20}){0,6} (?:is|are) reserved", "not expressly granted", 62),
+)
+
 
 def rules() -> list[Rule]:
-    """All signatures in order: per family its identifiers, addresses, grants and names, then the notices."""
+    """All signatures in order: per family its identifiers, addresses, grants and names, then notices, short forms and headers."""
     out = []
     for label, (name, ids, address, keyword) in FAMILIES.items():
         for i in ids:
@@ -136,7 +225,8 @@ def rules() -> list[Rule]:
             for n, (grant, priority) in enumerate(GRANTS):
                 out.append(Rule(label, f"grant {n} of {key.strip()}", f"{grant}(?:a |an )?{full}{_VERSION}", key, priority))
             out.append(Rule(label, f"name {key.strip()}", f"{full}{_VERSION}", key, 50))
-    out += [Rule(label, f"notice {n}", pattern, keyword, priority) for n, (label, pattern, keyword, priority) in enumerate(NOTICES)]
+    for kind, listed in (("notice", NOTICES), ("short form", SHORT), ("header", HEADERS)):
+        out += [Rule(label, f"{kind} {n}", pattern, keyword, priority) for n, (label, pattern, keyword, priority) in enumerate(listed)]
     return out
 
 

@@ -38,6 +38,10 @@ LINES = [
     "https://creativecommons.org/licenses/by-nc-nd/4.0/", "Copyright (c) 2019-2021 Someone", "is licensed under the Creative Commons Attribution ShareAlike 4.0",
     "GNU Lesser General Public License v2.1", "GNU Affero General Public License", "mit der Zeit", "All Rights RESERVED all rights reserved",
     "Permission is hereby granted, free of charge, to any person", "may not be reproduced in any form without prior written permission",
+    "licensed under the GPL v3", "released under MIT", "LGPL-2.1", "Apache 2.0", "BSD-3-Clause", "GPLv3+", "GNU GPL version 2 or later",
+    "available to you under the terms of the MPL 2.0", "(dual-)licensed under the same terms as Perl itself", "LPPL 1.3c", "BSL 1.1", "WTFPL",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "you may not use this file except in compliance with the License", "neither the name of the University nor the names of its contributors may be used to endorse",
     "Mozilla Public License 2.0 and the Apache License, Version 2.0", "é all rights réserved", "Unauthorised copying of this file is strictly prohibited",
 ]
 
@@ -74,6 +78,26 @@ def test_priority_and_containment():
     assert scanner.scan("mit der Zeit, apache war da")[2] == []
 
 
+def test_short_forms_versions_and_headers():
+    scanner = licenses.Scanner()
+    found = lambda text: [f[0] for f in scanner.scan(text)[2]]
+    cases = {
+        "licensed under the GPL v3": "gpl", "released under MIT": "mit", "LGPL-2.1": "lgpl", "Apache 2.0": "apache", "BSD-3-Clause": "bsd",
+        "GPLv3": "gpl", "GNU GPL version 2 or later": "gpl", "three-clause BSD": "bsd", "AGPLv3 only": "agpl", "made available under the MPL": "mpl",
+        "You should have received a copy of the GNU Affero General Public License": "agpl", "BUSL-1.1": "busl", "OFL 1.1": "ofl",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "under the same terms as Ruby": "ruby",
+        "Use of this source code is governed by a BSD-style license": "bsd", "Licensed under CC0 1.0": "cc0", "released under BSL 1.1": "busl",
+    }
+    for text, label in cases.items():
+        assert found(text) == [label], text
+        assert found(f"before, {text}; after") == [label], text
+    # one span, one detection: the tag is stronger than the form in it, the grant takes in the version
+    assert [f[4] for f in scanner.scan("SPDX-License-Identifier: BSD-3-Clause")[2]] == [100]
+    assert scanner.scan("x is licensed under the GPL v3 or later")[2][0][2:4] == (2, 8)
+    for text in ("EPL 2-0 in London", "Zeit mit X11 Kabeln", "the Apache 2 web server", "Apache 2.0 server", "a mit b", "CC 2.0", "gpl", "2 0", "MPL", "provided under oath"):
+        assert found(text) == [], text
+
+
 def test_query_columns(spark):
     rows = [(1, "CC BY, then all rights reserved."), (2, None), (3, ""), (None, "cc by"), (1, "CC BY, then all rights reserved."), (4, "MIT license")]
     docs = spark.createDataFrame([(k, t, "clash", "x") for k, t in rows], "doc_id long, text string, labels string, base string")
