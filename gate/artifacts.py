@@ -8,9 +8,10 @@ from gate.base import BARS, BENCH, RETURNS, WEEKLY, add, bars, bench, macro, sig
 from gate.learning import COLUMNS, SMALL, decision_features
 from gate.market import returns, weekly
 from tapeweave.operators import lineage, models
+from tapeweave.operators.asset_features import asset_features
 from tapeweave.operators.labels import forward_return_targets
 from tapeweave.session import shared_folder
-from tapeweave.sources import storage
+from tapeweave.sources import bucketed, storage
 from tapeweave.sources.universe import UniverseConfig, load_universe
 
 PRICES = ("open", "high", "low", "close")
@@ -29,6 +30,24 @@ add(
 )
 
 
+def _bucketed(s, sf):
+    """Momentum over a bucketed table, attached by name in a catalog that did not write it."""
+    path = shared_folder(s, "bucketed")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    bucketed.write_bucketed(bars(s, sf), f"{name}_w", path, 5)
+    bucketed.attach_bucketed(s, name, path, 5)
+    return asset_features(bucketed.read_bucketed(s, name)).select("date", "ticker", *sigs("mom_21d", "near_52w_high"))
+
+
+add(
+    "a2_bucketed_momentum",
+    _bucketed,
+    with_sql(BARS)
+    + f"""\nSELECT date, ticker, {sig_sql("close / lag(close, 21) OVER (PARTITION BY ticker ORDER BY date) - 1", "mom_21d")},
+  {sig_sql("close / max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) - 1", "near_52w_high")} FROM bars""",
+)
+
+
 def _market(s, sf):
     names = tuple(r.p_brand for r in table(s, sf, "part").select("p_brand").distinct().collect())
     universe = UniverseConfig(names, benchmark_ticker="MKT")
