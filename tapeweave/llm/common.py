@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tapeweave.session import cut_lineage
+from tapeweave.session import cut_lineage, shared_folder
 
-__all__ = ["ascii_lower", "cut_lineage", "drop_ids", "field_sql", "map_batches", "read", "text_or_empty"]
+__all__ = ["ascii_lower", "cut_lineage", "drop_ids", "field_sql", "map_batches", "read", "stored", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,6 +18,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, so that the planner knows its size in front of a join."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, UPPER, UPPER.lower())

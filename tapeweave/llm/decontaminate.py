@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeweave.llm.common import cut_lineage, drop_ids, text_or_empty
+from tapeweave.llm.common import cut_lineage, drop_ids, stored, text_or_empty
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -82,7 +82,8 @@ def contained_items(
     # the outer form: for the other one the optimizer adds a filter on the array's size, which builds every array again
     probes = hashed_shingles(words(source, "text", "doc_id"), "doc_id").select("doc_id", F.explode_outer("grams").alias("h"))
     found = cut_lineage(probes.join(sketches, "h").select("doc_id", "item").distinct())
-    those = found.select(F.col("doc_id").alias("__id")).distinct()
+    # few ids as a rule: with their size known in advance, the texts need no shuffle to be held against them
+    those = stored(found.select(F.col("doc_id").alias("__id")).distinct(), "decontaminate-near")
     near = source.join(those, F.expr("doc_id <=> __id"), "left_semi")
     near = near.groupBy("doc_id").agg(F.collect_set("text").alias("texts")).select("doc_id", F.explode("texts").alias("text"))
     grams = text_shingles(words(near, "text", "doc_id"), "doc_id")
@@ -111,4 +112,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **n
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
     """``docs`` without the documents that contain an item; rows without an id stay."""
-    return drop_ids(docs, contained_items(docs, items, id_col, **names).select(F.col("doc_id").alias(id_col)), id_col)
+    found = contained_items(docs, items, id_col, **names).select(F.col("doc_id").alias(id_col)).distinct()
+    return drop_ids(docs, stored(found, "decontaminate-found"), id_col)
