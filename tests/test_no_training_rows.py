@@ -38,3 +38,8 @@ def test_labels_are_there(folder):
 def test_pooled_rows_are_none(spark, folder):
     out = QUERIES["l5_pooled_training_rows"](spark, folder)
     assert (sorted(out.columns), out.collect()) == wanted(folder, "l5_pooled_training_rows")
+
+
+def test_contract_has_no_row(spark, folder):
+    out = QUERIES["g3_g4_contract"](spark, folder)
+    assert (sorted(out.columns), out.collect()) == wanted(folder, "g3_g4_contract")
