@@ -43,3 +43,8 @@ def test_pooled_rows_are_none(spark, folder):
 def test_contract_has_no_row(spark, folder):
     out = QUERIES["g3_g4_contract"](spark, folder)
     assert (sorted(out.columns), out.collect()) == wanted(folder, "g3_g4_contract")
+
+
+def test_probabilities_are_none(spark, folder):
+    out = QUERIES["g3_g4_action_probabilities"](spark, folder)
+    assert out.columns == ["decision_date", "ticker", "p_buy", "p_hold", "p_sell"] and out.collect() == []
