@@ -48,3 +48,10 @@ def test_contract_has_no_row(spark, folder):
 def test_probabilities_are_none(spark, folder):
     out = QUERIES["g3_g4_action_probabilities"](spark, folder)
     assert out.columns == ["decision_date", "ticker", "p_buy", "p_hold", "p_sell"] and out.collect() == []
+
+
+def test_a_split_without_training_rows_stays_in_cash(spark, folder):
+    rows = {r.portfolio_id: r for r in QUERIES["k13_event_walk_forward"](spark, folder).collect()}
+    assert set(rows) == {"event_0", "BENCHMARK"} and rows["BENCHMARK"].volatility > 0
+    own = rows["event_0"].asDict()
+    assert [own[m] for m in ("cumulative_return", "volatility", "max_drawdown", "mean_turnover", "total_transaction_cost")] == [0.0] * 5
